@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.packing import op9_pattern_packing
 from palimpsest.llm.sharding import op1_hash_tree_sharding
 from palimpsest.llm.simhash_dedup import op2_simhash_vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_simhash_vptree": op2_simhash_vptree,
+    "op9_pattern_packing": op9_pattern_packing,
 }
 
 #: Only where SQL can express the whole result.

@@ -91,15 +91,15 @@ def number_slots(rows: DataFrame, group: str, order: list[str], spread: list[str
     """Adds ``slot``: gapless numbers from 0 within each value of ``group``.
 
     No task sees a whole group: rows are dealt by (group, hash bucket), numbered
-    there, and shifted by how many rows of the group lie in earlier buckets. That
-    table of counts has at most groups x ``buckets`` rows, which bounds the broadcast.
+    there, and shifted by how many rows of the group lie in earlier buckets. The
+    counts, at most groups x ``buckets`` rows, join on the columns that the rows are dealt by already.
     """
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int"))
     before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     start = rows.groupBy(group, "_bucket").count().select(group, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     here = W.partitionBy(group, "_bucket").orderBy(*order)
     numbered = rows.withColumn("_n", F.row_number().over(here))
-    return numbered.join(F.broadcast(start), [group, "_bucket"]).withColumn("slot", F.col("_start") + F.col("_n") - 1).drop("_bucket", "_start", "_n")
+    return numbered.join(start, [group, "_bucket"]).withColumn("slot", F.col("_start") + F.col("_n") - 1).drop("_bucket", "_start", "_n")
 
 
 def shard_documents(docs: DataFrame, root: Node | None = None) -> DataFrame:
