@@ -19,6 +19,8 @@ Pattern = tuple[tuple[int, ...], int]
 #: Coarse lengths, and the most documents in a fitted pattern.
 UNITS = 32
 MOST_PARTS = 4
+#: The most room that a fitted pattern may leave.
+MOST_SLACK = 0
 
 
 def patterns(units: int = UNITS, parts: int = MOST_PARTS) -> list[tuple[int, ...]]:
@@ -110,7 +112,7 @@ def fitted(stock: _Stock, capacity: int, units: int) -> list[Pattern]:
                     break
                 chosen.append(length)
                 room -= length
-            if len(chosen) < len(all_patterns[j]) or room > width:
+            if len(chosen) < len(all_patterns[j]) or room > MOST_SLACK:
                 break
             times = min([todo, *(stock.left[x] // chosen.count(x) for x in set(chosen))])
             for x in chosen:

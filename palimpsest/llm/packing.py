@@ -25,7 +25,7 @@ END = b"\0\0\0\0"
 CACHED_WORDS = 500_000
 CACHED_PARTS = 800_000
 #: How this tokenizer cuts lower-case words without an apostrophe.
-PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PARTS = regex.compile(r"\p{L}+|\p{N}|[^\x85\xa0\p{L}\p{N}]+")
 #: Up to this letter, no letter combines with its neighbours or changes case by context.
 PLAIN_UP_TO = "\u024f"
 

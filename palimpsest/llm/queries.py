@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.packing import op9_pattern_packing
+from palimpsest.llm.secret_scan import op10_grammar_secrets
 from palimpsest.llm.sharding import op1_hash_tree_sharding
 from palimpsest.llm.simhash_dedup import op2_simhash_vptree
 
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_simhash_vptree": op2_simhash_vptree,
     "op9_pattern_packing": op9_pattern_packing,
+    "op10_grammar_secrets": op10_grammar_secrets,
 }
 
 #: Only where SQL can express the whole result.
