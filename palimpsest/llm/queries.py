@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm import quality_rules
+from palimpsest.llm.decontamination import op7_benchmark_windows
 from palimpsest.llm.packing import op9_pattern_packing
+from palimpsest.llm.quality_rules import op3_adaptive_rules
 from palimpsest.llm.secret_scan import op10_grammar_secrets
 from palimpsest.llm.sharding import op1_hash_tree_sharding
 from palimpsest.llm.simhash_dedup import op2_simhash_vptree
@@ -14,9 +17,13 @@ from palimpsest.llm.simhash_dedup import op2_simhash_vptree
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_simhash_vptree": op2_simhash_vptree,
+    "op3_adaptive_rules": op3_adaptive_rules,
+    "op7_benchmark_windows": op7_benchmark_windows,
     "op9_pattern_packing": op9_pattern_packing,
     "op10_grammar_secrets": op10_grammar_secrets,
 }
 
 #: Only where SQL can express the whole result.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_adaptive_rules": quality_rules.oracle(),
+}
