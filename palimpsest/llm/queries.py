@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import quality_rules
 from palimpsest.llm.decontamination import op7_benchmark_windows
+from palimpsest.llm.html_extraction import op8_wrapper_extraction
 from palimpsest.llm.packing import op9_pattern_packing
 from palimpsest.llm.quality_rules import op3_adaptive_rules
 from palimpsest.llm.secret_scan import op10_grammar_secrets
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_vptree": op2_simhash_vptree,
     "op3_adaptive_rules": op3_adaptive_rules,
     "op7_benchmark_windows": op7_benchmark_windows,
+    "op8_wrapper_extraction": op8_wrapper_extraction,
     "op9_pattern_packing": op9_pattern_packing,
     "op10_grammar_secrets": op10_grammar_secrets,
 }
