@@ -10,6 +10,7 @@ from palimpsest.llm import quality_rules
 from palimpsest.llm.decontamination import op7_benchmark_windows
 from palimpsest.llm.html_extraction import op8_wrapper_extraction
 from palimpsest.llm.packing import op9_pattern_packing
+from palimpsest.llm.quality_classifier import op4_latent_neighbours
 from palimpsest.llm.quality_rules import op3_adaptive_rules
 from palimpsest.llm.secret_scan import op10_grammar_secrets
 from palimpsest.llm.sharding import op1_hash_tree_sharding
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_simhash_vptree": op2_simhash_vptree,
     "op3_adaptive_rules": op3_adaptive_rules,
+    "op4_latent_neighbours": op4_latent_neighbours,
     "op7_benchmark_windows": op7_benchmark_windows,
     "op8_wrapper_extraction": op8_wrapper_extraction,
     "op9_pattern_packing": op9_pattern_packing,
