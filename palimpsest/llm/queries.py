@@ -15,12 +15,14 @@ from palimpsest.llm.quality_rules import op3_adaptive_rules
 from palimpsest.llm.secret_scan import op10_grammar_secrets
 from palimpsest.llm.sharding import op1_hash_tree_sharding
 from palimpsest.llm.simhash_dedup import op2_simhash_vptree
+from palimpsest.llm.toxicity import op6_boosted_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_simhash_vptree": op2_simhash_vptree,
     "op3_adaptive_rules": op3_adaptive_rules,
     "op4_latent_neighbours": op4_latent_neighbours,
+    "op6_boosted_toxicity": op6_boosted_toxicity,
     "op7_benchmark_windows": op7_benchmark_windows,
     "op8_wrapper_extraction": op8_wrapper_extraction,
     "op9_pattern_packing": op9_pattern_packing,
