@@ -156,7 +156,8 @@ def fingerprint_links(distinct: DataFrame, count: int, leaf_size: int = LEAF_SIZ
         own = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
         every = F.sequence(F.lit(0), F.col("cuts") - 1)
         # A home is in one row of tiles, with every block of queries; a query is in one column, with every block of homes.
-        rows = rows.unionByName(rows.where("home").withColumn("home", F.lit(False))).withColumn("home_tile", F.explode(F.when(F.col("home"), F.array(own)).otherwise(every)))
+        roles = F.when(F.col("home"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+        rows = rows.withColumn("home", F.explode(roles)).withColumn("home_tile", F.explode(F.when(F.col("home"), F.array(own)).otherwise(every)))
         rows = rows.withColumn("query_tile", F.explode(F.when(F.col("home"), every).otherwise(F.array(own)))).drop("cuts")
     else:
         rows = rows.withColumns({"home_tile": F.lit(0), "query_tile": F.lit(0)})
