@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import quality_rules
 from palimpsest.llm.decontamination import op7_benchmark_windows
 from palimpsest.llm.html_extraction import op8_wrapper_extraction
+from palimpsest.llm.lm_scoring import op5_recurrent_lm
 from palimpsest.llm.packing import op9_pattern_packing
 from palimpsest.llm.quality_classifier import op4_latent_neighbours
 from palimpsest.llm.quality_rules import op3_adaptive_rules
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_vptree": op2_simhash_vptree,
     "op3_adaptive_rules": op3_adaptive_rules,
     "op4_latent_neighbours": op4_latent_neighbours,
+    "op5_recurrent_lm": op5_recurrent_lm,
     "op6_boosted_toxicity": op6_boosted_toxicity,
     "op7_benchmark_windows": op7_benchmark_windows,
     "op8_wrapper_extraction": op8_wrapper_extraction,
