@@ -1,6 +1,594 @@
-"""Queries of the reference's operators, with the SQL that gives the same rows."""
+"""Queries of the reference's operators over the driver's tables, with the SQL that gives the same rows.
+
+Each pair stands together; ``query`` registers both. Lists come out as text, so that engines agree on them.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import tempfile
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import hashing, scalars
+from palimpsest.model import MAX_TIME, MIN_TIME, exclusive, inclusive
+from palimpsest.operators import asof, entities, scan, sets, stats, triples, windows, writes
+from palimpsest.plans import tables as t
+from palimpsest.plans.tables import DAY, EARLIER, HOUR, LATER, START, sql
+from palimpsest.sources import log
+from palimpsest.sources.cells import CellSource
+from palimpsest.streaming import feeds
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+NOW = START + 60 * DAY
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return put
+
+
+def on_cells(name: str, f: Callable[[DataFrame], DataFrame], oracle: str | None) -> None:
+    """A query of the cells alone."""
+    query(name, None if oracle is None else sql("cells", oracle))(lambda spark, d: f(t.cells(spark, d)))
+
+
+def text(items: Column) -> Column:
+    """A list as text."""
+    return F.array_join(items.cast("array<string>"), ",")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
+    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def written_cells(spark: SparkSession, d: str, name: str) -> str:
+    path = work_folder(spark, name)
+    log.append(t.cells(spark, d), path)
+    return path
+
+
+LATEST = "select * from cells where {} qualify row_number() over (partition by key order by time desc) = 1"
+IN_RANGE = f"time > {EARLIER} and time <= {LATER}"
+THROUGH = f"select * from cells where {IN_RANGE} union all (" + LATEST.format(f"time <= {EARLIER}") + ")"
+
+# --- Versions: the time windows -------------------------------------------------------------------------------------
+
+on_cells("window_latest", lambda c: windows.live(windows.latest(c, inclusive(LATER))), f"select * from ({LATEST.format(f'time <= {LATER}')}) where value is not null")
+on_cells("window_latest_range", lambda c: windows.latest(c, inclusive(LATER), exclusive(EARLIER)), LATEST.format(IN_RANGE))
+on_cells("window_latest_now", lambda c: windows.latest(c, inclusive(NOW)), LATEST.format(f"time <= {NOW}"))
+on_cells("window_between", lambda c: windows.between(c, inclusive(LATER), exclusive(EARLIER)), f"select * from cells where {IN_RANGE}")
+on_cells("window_through", lambda c: windows.through(c, inclusive(LATER), EARLIER), THROUGH)
+on_cells("window_all", lambda c: windows.everything(c, NOW), f"select * from cells where time >= 0 and time <= {NOW}")
+on_cells("live_rows", windows.live, "select * from cells where value is not null")
+on_cells("retire", lambda c: windows.retire(c, EARLIER), f"select * from cells where time >= {EARLIER} union all (" + LATEST.format(f"time < {EARLIER}") + ")")
+on_cells("order_cells", lambda c: scan.in_key_order(c), "select * from cells order by key, time desc")
+
+
+@query("window_overlap", sql("tagged", f"""
+    , files as (select kind, min(time) as first, max(time) as last from tagged group by kind, time // {7 * DAY})
+    select kind, first, last, first <= {LATER} and last > {EARLIER} as latest, first <= {LATER} as through from files"""))
+def window_overlap(spark: SparkSession, d: str) -> DataFrame:
+    files = t.tagged(spark, d).groupBy("kind", F.floor(F.col("time") / (7 * DAY)).alias("week")).agg(F.min("time").alias("first"), F.max("time").alias("last"))
+    can = {k: windows.overlaps(k, inclusive(LATER), exclusive(EARLIER), F.col("first"), F.col("last")).alias(k) for k in ("latest", "through")}
+    return files.select("kind", "first", "last", *can.values())
+
+
+@query("retention_limit", "select policy, lim from (values " + ", ".join(f"('{p}', {v}::bigint)" for p, v in (
+    ("unix_epoch", 0), ("start_of_previous_hour", LATER - HOUR), ("start_of_yesterday", LATER - DAY), ("start_of_previous_week", EARLIER), ("start_of_previous_month", 1_701_388_800_000_000))) + ") x(policy, lim)")
+def retention_limit(spark: SparkSession, d: str) -> DataFrame:
+    now = F.timestamp_micros(F.lit(LATER))
+    rows = [(p,) for p in windows.RETENTION]
+    limit = F.lit(None).cast("long")
+    for p in windows.RETENTION:
+        limit = F.when(F.col("policy") == p, windows.retention_limit(p, now)).otherwise(limit)
+    return spark.createDataFrame(rows, "policy string").select("policy", limit.alias("lim"))
+
+
+TIERED = "select key, time, value, event_id % 3 as source_rank from tagged"
+
+
+@query("dedupe", sql("tagged", "select key, time, value, source_rank from (select *, event_id % 3 as source_rank from tagged union all select *, 3 from tagged) qualify row_number() over (partition by key, time order by source_rank) = 1"))
+def dedupe(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.tagged(spark, d)
+    both = rows.withColumn("source_rank", F.col("event_id") % 3).unionByName(rows.withColumn("source_rank", F.lit(3).cast("long")))
+    return windows.dedupe(both.select("key", "time", "value", "source_rank"), "source_rank")
+
+
+@query("clean", sql("tagged", f"""
+    , twice as (select key, time, value, event_id % 3 as source_rank from tagged union all select key, time, value, 3 from tagged)
+    , once as (select * from twice qualify row_number() over (partition by key, time order by source_rank) = 1)
+    , kept as (select * from once where time >= {EARLIER} union all (select * from once where time < {EARLIER} qualify row_number() over (partition by key order by time desc) = 1))
+    select * from kept where key & 3 <> 2"""))
+def clean(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.tagged(spark, d)
+    both = rows.withColumn("source_rank", F.col("event_id") % 3).unionByName(rows.withColumn("source_rank", F.lit(3).cast("long")))
+    return windows.clean(both.select("key", "time", "value", "source_rank"), EARLIER, "source_rank", F.col("key").bitwiseAND(3) != 2)
+
+
+on_cells("residency", lambda c: c.where(F.col("key").bitwiseAND(7).isin(0, 3, 5)), "select * from cells where key & 7 in (0, 3, 5)")
+on_cells("bound_predicate", lambda c: c.select("key", "time", exclusive(EARLIER).below(F.col("time")).alias("after"), inclusive(LATER).above(F.col("time")).alias("upto")), f"select key, time, time > {EARLIER} as after, time <= {LATER} as upto from cells")
+
+# --- Scans, sources and sinks ---------------------------------------------------------------------------------------
+
+on_cells("scan_table", scan.in_key_order, "select * from cells")
+on_cells("scan_typed", lambda c: c.select(F.concat(F.lit("user-"), F.col("key")).alias("user"), F.timestamp_micros("time").cast("timestamp_ntz").cast("string").alias("at"), F.col("value").cast("decimal(18,2)").cast("string").alias("amount")),
+         "select 'user-' || key as user, regexp_replace(make_timestamp(time)::varchar, '0+$', '') as at, value::decimal(18,2)::varchar as amount from cells")
+on_cells("scan_from", lambda c: scan.to_end(scan.from_start(c, 20, LATER), 90), f"select * from cells where (key > 20 or key = 20 and time <= {LATER}) and key < 90")
+on_cells("scan_start_bound", lambda c: scan.from_start(c, 20, EARLIER), f"select * from cells where key > 20 or key = 20 and time <= {EARLIER}")
+on_cells("scan_end_bound", lambda c: scan.to_end(c, 90), "select * from cells where key < 90")
+on_cells("scan_page", lambda c: scan.page(c, 100), "select key, time, value, n = 101 as is_next from (select *, row_number() over (order by key, time desc) as n from cells) where n <= 101")
+on_cells("limit_http", lambda c: scan.page(windows.live(windows.latest(c, inclusive(LATER))), 25),
+         f"select key, time, value, n = 26 as is_next from (select *, row_number() over (order by key) as n from ({LATEST.format(f'time <= {LATER}')}) where value is not null) where n <= 26")
+on_cells("http_scan", lambda c: scan.http_scan(c, NOW, "latest", EARLIER, LATER, key=10, end=120, index=1, count=4), f"select * from ({LATEST.format(IN_RANGE + ' and key & 3 = 1 and key < 120')}) where value is not null and key >= 10")
+on_cells("http_scan_between", lambda c: scan.http_scan(c, NOW, "between", EARLIER, LATER), f"select * from cells where {IN_RANGE}")
+on_cells("http_scan_through", lambda c: scan.http_scan(c, NOW, "through", EARLIER, LATER, end=120), f"select * from ({THROUGH}) where key < 120")
+on_cells("slice_int", lambda c: c.where(scan.in_slice(F.col("key"), 1, 4)), "select * from cells where key & 3 = 1")
+
+
+@query("scan_merge_tiers", sql("tagged", TIERED))
+def scan_merge_tiers(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.tagged(spark, d)
+    return scan.merge([rows.where(F.col("event_id") % 3 == i).select("key", "time", "value") for i in range(3)]).withColumn("source_rank", F.col("source_rank").cast("long"))
+
+
+@query("merge_ordered", sql("cells", "select *, 0 as source_rank from cells union all select *, 1 from cells"))
+def merge_ordered(spark: SparkSession, d: str) -> DataFrame:
+    c = t.cells(spark, d)
+    return scan.merge([c, c]).orderBy(F.col("key").asc(), F.col("time").desc(), F.col("source_rank").asc())
+
+
+@query("scan_replicas", sql("cells", "select * from cells"))
+def scan_replicas(spark: SparkSession, d: str) -> DataFrame:
+    """Three replicas, each without a third of the cells."""
+    rows = t.tagged(spark, d)
+    replicas = [rows.where(F.col("event_id") % 3 != i).select("key", "time", "value") for i in range(3)]
+    return windows.dedupe(scan.merge(replicas), "source_rank").select("key", "time", "value")
+
+
+@query("slice_key")
+def slice_key(spark: SparkSession, d: str) -> DataFrame:
+    return t.cells(spark, d).withColumn("slice", hashing.slice_hash(F.lit(1).cast("long"), F.col("key").cast("string").cast("binary")).bitwiseAND(3))
+
+
+@query("place")
+def place(spark: SparkSession, d: str) -> DataFrame:
+    """Keys and their bucket, and the hosts that an atlas of eight cohorts has for it."""
+    atlas = spark.createDataFrame([(b, [f"host{(b + i) % 4}" for i in range(3)]) for b in range(8)], "bucket long, hosts array<string>")
+    keys = t.cells(spark, d).select("key").distinct()
+    return keys.withColumn("bucket", hashing.slice_hash(F.lit(1).cast("long"), F.col("key").cast("string").cast("binary")).bitwiseAND(7)).join(F.broadcast(atlas), "bucket").select("key", "bucket", text(F.col("hosts")).alias("hosts"))
+
+
+@query("rdd_source", sql("cells", "select * from cells"))
+def sliced_source(spark: SparkSession, d: str) -> DataFrame:
+    spark.dataSource.register(CellSource)
+    return spark.read.format("cells").option("path", written_cells(spark, d, "cells").removeprefix("file://")).option("nslices", 8).load()
+
+
+@query("window_batch_source", sql("cells", f"select * from cells where {IN_RANGE}"))
+def window_batch_source(spark: SparkSession, d: str) -> DataFrame:
+    spark.dataSource.register(CellSource)
+    path = written_cells(spark, d, "cells").removeprefix("file://")
+    return spark.read.format("cells").option("path", path).option("nslices", 4).option("since", EARLIER).option("until", LATER).load()
+
+
+@query("dstream_source", sql("cells", LATEST.format("true")))
+def dstream_source(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of the source, written batch by batch: here all is there from the beginning, so it is one batch."""
+    spark.dataSource.register(CellSource)
+    path, out = written_cells(spark, d, "cells"), work_folder(spark, "feed")
+    stream = spark.readStream.format("cells").option("path", path.removeprefix("file://")).option("nslices", 4).load()
+    feeds.write_latest(stream, f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("key", "time", "value")
+
+
+WEEKS = f"select (time - {START} - 1) // {7 * DAY} as batch, key, time, value from cells where time > {START}"
+
+
+@query("feed_latest", sql("cells", f"select * from ({WEEKS}) qualify row_number() over (partition by batch, key order by time desc) = 1"))
+def feed_latest(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.batches_of(t.cells(spark, d), START, 7 * DAY, tombstones=True)
+
+
+@query("feed_between", sql("cells", f"select * from ({WEEKS}) where value is not null"))
+def feed_between(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.batches_of(t.cells(spark, d), START, 7 * DAY, pick="between")
+
+
+@query("sink_write_batch", sql("cells", f"select * from cells where {IN_RANGE}"))
+def sink_write_batch(spark: SparkSession, d: str) -> DataFrame:
+    return log.read(spark, written_cells(spark, d, "log"), EARLIER, LATER)
+
+
+@query("sink_compact", sql("cells", f"select * from cells where time >= {EARLIER} union all (" + LATEST.format(f"time < {EARLIER}") + ")"))
+def sink_compact(spark: SparkSession, d: str) -> DataFrame:
+    source, target = written_cells(spark, d, "log"), work_folder(spark, "compacted")
+    log.compact(spark, source, target, EARLIER)
+    return log.read(spark, target)
+
+
+@query("sink_json", sql("cells", "select key, time, value is null as deleted from cells"))
+def sink_json(spark: SparkSession, d: str) -> DataFrame:
+    lines = log.json_lines(t.cells(spark, d))
+    return lines.select(F.get_json_object("json", "$.key").cast("long").alias("key"), F.get_json_object("json", "$.time").cast("long").alias("time"), F.get_json_object("json", "$.value").isNull().alias("deleted"))
+
+
+# --- Point reads ----------------------------------------------------------------------------------------------------
+
+READS = """select o.op_index, o.key, o.rt, coalesce(c.time, 0) as value_time, c.value from read_ops o left join cells c on c.key = o.key and c.time <= o.rt
+    qualify row_number() over (partition by o.op_index order by c.time desc nulls last) = 1"""
+
+
+def reads(spark: SparkSession, d: str) -> DataFrame:
+    return asof.read_asof(t.read_ops(spark, d), t.cells(spark, d))
+
+
+query("read_asof", sql("cells read_ops", READS))(reads)
+query("join_asof", sql("cells read_ops", READS))(reads)
+query("tx_fetch", sql("cells read_ops", READS))(reads)
+query("read_vt", sql("cells read_ops", f"select coalesce(max(value_time), 0) as vt from ({READS})"))(lambda spark, d: asof.newest_time(reads(spark, d)))
+query("max_vt", sql("cells read_ops", f"select max(value_time) as max_vt, min(rt) as min_rt, max(value_time) > min(rt) as stale from ({READS})"))(
+    lambda spark, d: reads(spark, d).agg(F.max("value_time").alias("max_vt"), F.min("rt").alias("min_rt"), (F.max("value_time") > F.min("rt")).alias("stale")))
+query("http_read", sql("cells read_ops", f"select op_index, case when value is null then 404 when {EARLIER + 4 * DAY} < value_time then 200 else 304 end as status from ({READS})"))(
+    lambda spark, d: reads(spark, d).select("op_index", asof.read_status(F.col("value"), F.col("value_time"), F.lit(EARLIER + 4 * DAY)).alias("status")))
+query("client_tx", sql("cells read_ops", f"select key % 10 as client, min(rt) as ct, max(value_time) as vt, max(value_time) > min(rt) as stale from ({READS}) group by key % 10"))(
+    lambda spark, d: reads(spark, d).groupBy((F.col("key") % 10).alias("client")).agg(F.min("rt").alias("ct"), F.max("value_time").alias("vt"), (F.max("value_time") > F.min("rt")).alias("stale")))
+query("tier_get", sql("cells read_ops", f"select op_index, value_time, value from ({READS}) where value_time > 0"))(lambda spark, d: reads(spark, d).where("value_time > 0").select("op_index", "value_time", "value"))
+
+
+@query("read_asof_multi", sql("tagged read_ops", """, ops as (select op_index * 5 + k as op_index, kind, key, rt from read_ops, (select row_number() over (order by kind) - 1 as k, kind from (select distinct kind from tagged)))
+    select o.op_index, o.kind, o.key, o.rt, coalesce(c.time, 0) as value_time, c.value from ops o left join tagged c on c.kind = o.kind and c.key = o.key and c.time <= o.rt
+    qualify row_number() over (partition by o.op_index order by c.time desc nulls last) = 1"""))
+def read_asof_multi(spark: SparkSession, d: str) -> DataFrame:
+    """Each kind of event is a table of its own; every op reads its key in all five."""
+    kinds = F.array(*(F.lit(k) for k in ("click", "error", "purchase", "signup", "view")))
+    ops = t.read_ops(spark, d).select("*", F.posexplode(kinds).alias("k", "kind")).withColumn("op_index", F.col("op_index") * 5 + F.col("k"))
+    return asof.read_asof(ops, t.tagged(spark, d), ("kind", "key"))
+
+
+@query("read_quorum", sql("cells read_ops", READS))
+def read_quorum(spark: SparkSession, d: str) -> DataFrame:
+    """Each of three replicas lacks a third of the cells; the best reply is the whole table's."""
+    rows, ops = t.tagged(spark, d), t.read_ops(spark, d)
+    replies = scan.merge([asof.read_asof(ops, rows.where(F.col("event_id") % 3 != i)) for i in range(3)])
+    return asof.quorum(replies, ("op_index", "key", "rt")).select("op_index", "key", "rt", "value_time", "value")
+
+
+CACHED = "cache as (select key, time as value_time, max(time + event_id % 7 * 3600000000) as cached_time, max_by(value, time + event_id % 7 * 3600000000) as value from (select * from tagged where value is not null) group by key, time)"
+
+
+def cache(spark: SparkSession, d: str) -> DataFrame:
+    rows = windows.live(t.tagged(spark, d))
+    return asof.cache_put(rows.select("key", F.col("time").alias("value_time"), (F.col("time") + F.col("event_id") % 7 * HOUR).alias("cached_time"), "value"))
+
+
+query("cache_put", sql("tagged", f", {CACHED} select key, value_time, cached_time, value from cache"))(cache)
+query("cache_get", sql("tagged read_ops", f""", {CACHED} select op_index, value_time, cached_time, value from read_ops join cache using (key) where value_time <= rt
+    qualify row_number() over (partition by op_index order by value_time desc) = 1"""))(lambda spark, d: asof.cache_get(t.read_ops(spark, d).select("op_index", "key", "rt"), cache(spark, d)))
+query("cache_evict", sql("tagged", f", {CACHED} select key, value_time, cached_time, value from cache order by cached_time desc, key, value_time desc limit 50"))(
+    lambda spark, d: asof.evict(cache(spark, d), 50).select("key", "value_time", "cached_time", "value"))
+
+# --- Iterators and sets ---------------------------------------------------------------------------------------------
+
+on_cells("iter_map", lambda c: c.select("key", (F.col("time") + 1).alias("next"), (F.col("value") * 2).alias("doubled")), "select key, time + 1 as next, value * 2 as doubled from cells")
+on_cells("iter_filter", lambda c: c.where("value > 100"), "select * from cells where value > 100")
+on_cells("iter_flat_map", lambda c: c.select("key", "time", F.explode(F.sequence(F.lit(0).cast("long"), F.pmod("key", F.lit(3)))).alias("i")), "select key, time, unnest(range(0, key % 3 + 1)) as i from cells")
+query("iter_batch_flat_map", sql("cells read_ops", "select op_index, time from read_ops join cells using (key) where time <= rt"))(
+    lambda spark, d: t.read_ops(spark, d).join(t.cells(spark, d), "key").where("time <= rt").select("op_index", "time"))
+query("iter_adapt", "select * from (values (1::bigint, 3::bigint, 1.0::double), (1, 2, null), (2, 3, 2.0)) x(key, time, value)")(
+    lambda spark, d: spark.createDataFrame([(1, 3, 1.0), (1, 2, None), (2, 3, 2.0)], "key long, time long, value double"))
+on_cells("to_seq", scan.in_key_order, "select * from cells")
+on_cells("to_seq_while", lambda c: scan.page(c, 10).select("key", "time", "value"), "select key, time, value from cells order by key, time desc limit 11")
+on_cells("take_while", lambda c: sets.take_while(c, "key", [F.desc("time")], F.col("value").isNotNull()),
+         """select key, time, value, failing = 1 as stopped from (select *, sum(case when value is null then 1 else 0 end) over (partition by key order by time desc rows unbounded preceding) as failed,
+         case when value is null then 1 else 0 end as failing from cells) where failed = 0 or failed = 1 and failing = 1""")
+
+
+@query("to_map", sql("tagged", "select key, string_agg(kind || '=' || time, ',' order by kind) as entries from (select key, kind, max(time) as time from tagged group by all) group by key"))
+def to_map(spark: SparkSession, d: str) -> DataFrame:
+    entries = sets.to_map(t.tagged(spark, d), "key", F.col("kind"), F.col("time"), F.col("time"))
+    return entries.select("key", F.array_join(F.array_sort(F.transform(F.map_entries("entries"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",").alias("entries"))
+
+
+@query("union_receive", sql("tagged", "select key, time, value from tagged"))
+def union_receive(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.tagged(spark, d)
+    return sets.received(rows.where("event_id % 4 < 3").select("key", "time", "value"), rows.where("event_id % 4 > 0").select("key", "time", "value"))
+
+
+@query("receive_novel", sql("tagged", "select key, time, value from tagged where event_id % 4 = 0"))
+def receive_novel(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.tagged(spark, d)
+    return sets.novel(rows.where("event_id % 4 < 3").select("key", "time", "value"), rows.where("event_id % 4 > 0").select("key", "time", "value"))
+
+
+PAIR = "select l_suppkey, min(l_partkey) as a, list_sort(list_distinct(list(l_partkey % 50))) as x, list_sort(list_distinct(list(l_orderkey % 50))) as y from lineitem group by l_suppkey"
+
+
+def pair(spark: SparkSession, d: str) -> DataFrame:
+    return t.read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey") % 50).alias("x"), F.collect_set(F.col("l_orderkey") % 50).alias("y"))
+
+
+for _name, _spark, _duck in (
+    ("set_diff", F.array_except, "list_filter(x, lambda e: not list_contains(y, e))"), ("set_intersect", F.array_intersect, "list_filter(x, lambda e: list_contains(y, e))"), ("fn_set_ops", F.array_union, "list_sort(list_distinct(list_concat(x, y)))"),
+):
+    query(_name, f"select l_suppkey, array_to_string({_duck}, ',') as items from ({PAIR})")(lambda spark, d, f=_spark: pair(spark, d).select("l_suppkey", text(F.array_sort(f("x", "y"))).alias("items")))
+
+
+@query("set_union", "select l_suppkey, array_to_string(list_sort(list_distinct(list(l_partkey % 50))), ',') as items from lineitem group by l_suppkey")
+def set_union(spark: SparkSession, d: str) -> DataFrame:
+    lines = t.read(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.collect_set(F.col("l_partkey") % 50).alias("items"))
+    return sets.union_of_sets(lines, "l_suppkey", "items").select("l_suppkey", text(F.col("items")).alias("items"))
+
+
+# --- Writes ---------------------------------------------------------------------------------------------------------
+
+CURRENT = f""", now as (select key, time as now_time, value as now_value from cells qualify row_number() over (partition by key order by time desc) = 1)
+    , checked as (select o.*, coalesce(now_time, 0) as now_time, now_value, case when op = 'create' and now_value is not null then 'collision' when op <> 'create' and ct < coalesce(now_time, 0) then 'stale' end as conflict
+      from write_ops o left join now using (key))"""
+OUTCOME = f"""select case when collisions > 0 then 'collision' when stale > 0 then 'stale' else 'committed' end as status, collisions, stale, stale_time,
+    case when collisions = 0 and stale = 0 then greatest(seen, {NOW}) + 1 end as wt from (select count(*) filter (conflict = 'collision') as collisions, count(*) filter (conflict = 'stale') as stale,
+    max(now_time) filter (conflict = 'stale') as stale_time, coalesce(max(now_time), 0) as seen from {{}})"""
+
+
+def both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return t.write_ops(spark, d), t.cells(spark, d)
+
+
+for _kind in writes.KINDS:
+    query(f"op_{_kind}", sql("cells write_ops", f"{CURRENT} select op_index, key, now_time, conflict from checked where op = '{_kind}'"))(
+        lambda spark, d, k=_kind: writes.current(*both(spark, d)).where(F.col("op") == k).select("op_index", "key", "now_time", writes.conflict().alias("conflict")))
+query("write_conflicts", sql("cells write_ops", f"{CURRENT} select op_index, key, conflict, now_time from checked where conflict is not null"))(lambda spark, d: writes.conflicts(*both(spark, d)))
+query("join_cond_write", sql("cells write_ops", f"{CURRENT} select op_index, op, key, value, ct, now_time, now_value from checked"))(lambda spark, d: writes.current(*both(spark, d)).select("op_index", "op", "key", "value", "ct", "now_time", "now_value"))
+query("write_batch_rejected", sql("cells write_ops", CURRENT + OUTCOME.format("checked")))(lambda spark, d: writes.outcome(*both(spark, d), NOW))
+query("write_time", sql("cells write_ops", CURRENT + OUTCOME.format("(select * from checked where conflict is null)")))(lambda spark, d: writes.outcome(writes.appliable(*both(spark, d)), t.cells(spark, d), NOW))
+query("write_batch", sql("cells write_ops", f"""{CURRENT} select key, time, value from cells union all
+    select key, (select greatest(max(now_time), {NOW}) + 1 from checked where conflict is null), case when op <> 'delete' then value end from checked where conflict is null and op <> 'hold'"""))(
+    lambda spark, d: t.cells(spark, d).unionByName(writes.appended(writes.appliable(*both(spark, d)), t.cells(spark, d), NOW)))
+query("http_row_write", sql("cells write_ops", f"{CURRENT} select op_index, case conflict when 'collision' then 409 when 'stale' then 412 else 200 end as status from checked"))(
+    lambda spark, d: writes.current(*both(spark, d)).select("op_index", writes.row_status(F.col("op"), writes.conflict()).alias("status")))
+
+VIEW = f""", view as (select key, case own_op when 'delete' then 'deleted' when 'create' then 'created' when 'update' then 'updated' else case when value is null then 'not found' else 'found' end end as state,
+    case when own_op = 'delete' then null when own_op in ('create', 'update') then own_value else value end as value
+    from ({READS}) full join (select key, op as own_op, value as own_value from write_ops where op <> 'hold') using (key))"""
+
+
+def view(spark: SparkSession, d: str) -> DataFrame:
+    return writes.overlay(reads(spark, d), t.write_ops(spark, d).where("op <> 'hold'"))
+
+
+query("tx_overlay", sql("cells read_ops write_ops", f"{VIEW} select * from view"))(view)
+query("tx_execute", sql("cells read_ops write_ops", f"""{VIEW} select key, case state when 'created' then 'create' when 'updated' then 'update' when 'deleted' then 'delete' else 'hold' end as op,
+    case when state in ('created', 'updated') then value end as value from view"""))(lambda spark, d: writes.executed(view(spark, d)))
+
+
+@query("tx_status", """select c_custkey as asked, coalesce(status, 'aborted') as status, wt from customer left join
+    (select o_custkey, 'committed' as status, max(epoch_us(o_orderdate)) as wt from orders group by o_custkey) on c_custkey = o_custkey""")
+def tx_status(spark: SparkSession, d: str) -> DataFrame:
+    """Asking about a transaction that is not known aborts it."""
+    done = t.read(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', o_orderdate)")).alias("wt")).withColumn("status", F.lit("committed"))
+    asked = t.read(spark, d, "customer").select(F.col("c_custkey").alias("asked"))
+    return asked.join(done, F.col("asked") == F.col("o_custkey"), "left").select("asked", F.coalesce("status", F.lit("aborted")).alias("status"), "wt")
+
+
+@query("http_batch", """, """.join(["with r as (select o_orderstatus as op, o_orderpriority as tab, o_custkey as key from orders)"]) + """
+    select 'unknown op' as error, lower(op) as what, count(*) as n from r where lower(op) not in ('create', 'hold', 'update', 'delete') group by all
+    union all select 'unknown table', tab, count(*) from r where tab not in ('1-URGENT', '2-HIGH') group by all
+    union all select 'row named twice', tab || '/' || key, count(*) from r group by tab, key having count(*) > 1""")
+def http_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a request: their status is no operation, and two priorities are tables."""
+    ops = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("op_index"), F.col("o_orderstatus").alias("op"), F.col("o_orderpriority").alias("table"), F.col("o_custkey").alias("key"))
+    return writes.batch_errors(ops, spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "table string"))
+
+
+# --- Figures --------------------------------------------------------------------------------------------------------
+
+DIGEST = f"select kind, (time - {START}) // {7 * DAY} as gen, count(distinct key) as keys, count(*) as entries, min(time) as earliest, max(time) as latest, sum(length(props) + 16)::bigint as bytes from tagged group by all"
+
+
+def tiers(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.tagged(spark, d).withColumn("gen", F.floor((F.col("time") - START) / (7 * DAY)).cast("long"))
+    return stats.digest(rows, ["kind", "gen"], F.length("props") + 16)
+
+
+query("table_digest", sql("tagged", DIGEST))(tiers)
+query("tier_stats", sql("tagged", f"select gen, sum(entries)::bigint as entries, min(earliest) as earliest, max(latest) as latest, sum(bytes)::bigint as bytes from ({DIGEST}) group by gen"))(
+    lambda spark, d: tiers(spark, d).groupBy("gen").agg(F.sum("entries").alias("entries"), F.min("earliest").alias("earliest"), F.max("latest").alias("latest"), F.sum("bytes").alias("bytes")))
+query("count_keys", sql("tagged", "select kind, count(distinct key) as keys from tagged group by kind"))(lambda spark, d: t.tagged(spark, d).groupBy("kind").agg(F.countDistinct("key").alias("keys")))
+query("count_keys_approx")(lambda spark, d: stats.approximate_keys(t.tagged(spark, d), ["kind"]))
+query("estimate_keys", sql("tagged", f"select kind, gen, (keys * 0.75 * 1.1)::bigint as estimate from (select kind, gen, floor(keys * 0.75 * 1.1) / 0.75 / 1.1 as keys from ({DIGEST}))"))(
+    lambda spark, d: tiers(spark, d).select("kind", "gen", stats.estimated_keys(F.col("keys"), F.lit(0.75)).alias("estimate")))
+GENS = f"gens as (select gen, sum(bytes)::bigint as bytes from ({DIGEST}) group by gen)"
+query("choose_tiers", sql("tagged", f""", {GENS} select gen, bytes from gens where gen >= (select min(gen) from (
+    select gen, bytes < coalesce(sum(bytes) over (order by gen desc rows between unbounded preceding and 1 preceding), 0) as pick from gens) where pick)"""))(
+    lambda spark, d: stats.chosen_tiers(tiers(spark, d).groupBy("gen").agg(F.sum("bytes").alias("bytes"))))
+
+
+@query("residents_stability", sql("tagged", """, held as (select kind, list_sort(list_distinct(list(key & 3))) as buckets from tagged group by kind), wide as (select kind, unnest(range(0, 8)) as b from held)
+    select kind, share, 1 - share > 0.2 as exodus from (select kind, count(*) filter (b in (0, 1, 2, 3, 5)) / count(*) as share from wide join held using (kind) where list_contains(buckets, b & 3) group by kind)"""))
+def residents_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Tiers have buckets of four; the host now has five of eight."""
+    held = t.tagged(spark, d).groupBy("kind").agg(F.collect_set(F.col("key").bitwiseAND(3).cast("int")).alias("buckets"))
+    share = stats.stability(F.col("buckets"), F.lit(3), [0, 1, 2, 3, 5], 8)
+    return held.select("kind", share.alias("share"), (1 - share > stats.EXODUS).alias("exodus"))
+
+
+query("audit_sum", sql("cells", f"select count(*) as rows, sum(value) as total from ({LATEST.format(f'time <= {LATER}')}) where value is not null"))(
+    lambda spark, d: stats.audit(windows.live(windows.latest(t.cells(spark, d), inclusive(LATER)))).select("rows", F.round("total", 4).alias("total")))
+ORACLE_SQL["audit_sum"] = ORACLE_SQL["audit_sum"].replace("sum(value)", "round(sum(value), 4)")
+query("history_replay", sql("cells", f""", ch as (select time, coalesce(value, 0) - coalesce(lag(coalesce(value, 0)) over (partition by key order by time), 0) as change from cells)
+    select bucket, changed, round(sum(delta) over (order by bucket), 4) as total from (select (time - {START}) // {DAY} as bucket, count(*) as changed, sum(change) as delta from ch group by 1)"""))(
+    lambda spark, d: stats.history(t.cells(spark, d), F.floor((F.col("time") - START) / DAY).cast("long")).select("bucket", "changed", F.round("total", 4).alias("total")))
+
+ATLAS = "cohorts as (select n_nationkey as bucket, list_sort(list_distinct([n_regionkey, (n_nationkey + 1) % 7, (n_nationkey + 3) % 7])) as hosts from nation)"
+
+
+def atlas(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    return t.read(spark, d, "nation").select(n.alias("bucket"), F.array_sort(F.array_distinct(F.array("n_regionkey", (n + 1) % 7, (n + 3) % 7))).alias("hosts"))
+
+
+query("hosts_for_slice", f"with {ATLAS} select host, count(*) as weight from (select unnest(hosts) as host from cohorts) group by host")(lambda spark, d: stats.hosts_of(atlas(spark, d)))
+query("quorum_count", f"""with {ATLAS} select bucket, replied, n // 2 + 1 as needed, replied >= n // 2 + 1 as reached from (select bucket, count(*) filter (host in (0, 2, 4)) as replied, count(*) as n
+    from (select bucket, unnest(hosts) as host from cohorts) group by bucket)""")(lambda spark, d: stats.has_quorum(atlas(spark, d), spark.createDataFrame([(0,), (2,), (4,)], "host int")))
+query("shrink_atlas", f"with {ATLAS} select array_to_string(hosts, ',') as hosts, count(*) as buckets, min(bucket) as first from cohorts group by hosts")(
+    lambda spark, d: atlas(spark, d).groupBy(text(F.col("hosts")).alias("hosts")).agg(F.count("*").alias("buckets"), F.min("bucket").alias("first")))
+query("bloom_probe", sql("cells", "select o_orderkey, o_custkey as key from orders where o_custkey in (select key from cells)"))(
+    lambda spark, d: stats.may_contain(t.read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key")), t.cells(spark, d)))
+
+# --- Entities -------------------------------------------------------------------------------------------------------
+
+query("list_movies", sql("movies", "select movie_id, title, released from movies where title is not null"))(lambda spark, d: t.movies(spark, d).where("title IS NOT NULL"))
+query("list_actors", sql("actors", "select actor_id, name, born from actors where name is not null"))(lambda spark, d: t.actors(spark, d).where("name IS NOT NULL"))
+query("list_roles", sql("roles", "select movie_id, actor_id, role from roles"))(lambda spark, d: entities.list_roles(entities.casts(t.roles(spark, d))))
+
+
+def shown(items: str, *names: str) -> Column:
+    return F.array_join(F.transform(items, lambda x: F.concat_ws("/", *(x[n].cast("string") for n in names))), ",")
+
+
+query("app_save_movie", sql("roles", "select movie_id, string_agg(actor_id || '/' || role, ',' order by position, actor_id, role) as members from roles group by movie_id"))(
+    lambda spark, d: entities.casts(t.roles(spark, d)).select("movie_id", shown("members", "actor_id", "role").alias("members")))
+query("app_save_actor", sql("roles", "select actor_id, string_agg(movie_id || '/' || role, ',' order by position, movie_id, role) as roles from roles group by actor_id"))(
+    lambda spark, d: entities.roles_of(t.roles(spark, d)).select("actor_id", shown("roles", "movie_id", "role").alias("roles")))
+query("join_movie_display", sql("movies actors roles", """select m.movie_id, m.title, m.released, coalesce(string_agg(r.actor_id || '/' || a.name || '/' || r.role, ',' order by r.position, r.actor_id, a.name, r.role), '') as members
+    from movies m left join roles r using (movie_id) left join actors a using (actor_id) group by all"""))(
+    lambda spark, d: entities.movie_display(t.movies(spark, d), t.roles(spark, d), t.actors(spark, d)).select("movie_id", "title", "released", shown("cast", "actor_id", "actor", "role").alias("members")))
+query("join_actor_display", sql("movies actors roles", """select a.actor_id, a.name, a.born, coalesce(string_agg(r.movie_id || '/' || m.title || '/' || r.role, ',' order by r.position, r.movie_id, m.title, r.role), '') as played
+    from actors a left join roles r using (actor_id) left join movies m using (movie_id) group by all"""))(
+    lambda spark, d: entities.actor_display(t.actors(spark, d), t.roles(spark, d), t.movies(spark, d)).select("actor_id", "name", "born", shown("roles", "movie_id", "title", "role").alias("played")))
+query("join_downstream", sql("movies actors roles", "select title, name, role from roles join movies using (movie_id) join actors using (actor_id)"))(
+    lambda spark, d: t.roles(spark, d).join(t.movies(spark, d), "movie_id").join(t.actors(spark, d), "actor_id").select("title", "name", "role"))
+
+INDEX = """ix as (select text, coalesce(list_sort(list_distinct(list(m) filter (m is not null))), []) as movies, coalesce(list_sort(list_distinct(list(a) filter (a is not null))), []) as actors from
+    (select lower(title) as text, movie_id as m, null::bigint as a from movies union all select lower(name), null, actor_id from actors) group by text)"""
+
+
+def index(spark: SparkSession, d: str) -> DataFrame:
+    return entities.name_index(t.movies(spark, d), t.actors(spark, d))
+
+
+QUERY_PREFIX = "SUPPLIER#00000000"
+query("index_maintain", sql("movies actors", f", {INDEX} select text, array_to_string(movies, ',') as movies, array_to_string(actors, ',') as actors from ix"))(
+    lambda spark, d: index(spark, d).select("text", text(F.col("movies")).alias("movies"), text(F.col("actors")).alias("actors")))
+query("prefix_topk", sql("movies actors", f", {INDEX} select text, array_to_string(actors, ',') as actors from ix where starts_with(text, lower('{QUERY_PREFIX}')) order by text limit 9"))(
+    lambda spark, d: entities.prefix(index(spark, d), QUERY_PREFIX).select("text", text(F.col("actors")).alias("actors")))
+query("join_search", sql("movies actors", f""", {INDEX}, hits as (select * from ix where starts_with(text, lower('{QUERY_PREFIX}')) order by text limit 9)
+    select 'movie' as kind, movie_id as id, title as text from movies where movie_id in (select unnest(movies) from hits)
+    union all select 'actor', actor_id, name from actors where actor_id in (select unnest(actors) from hits)"""))(
+    lambda spark, d: entities.search(index(spark, d), QUERY_PREFIX, t.movies(spark, d), t.actors(spark, d)))
+query("app_validate", sql("movies actors roles", """select 'no title' as error, count(*) as n from movies where title is null or title = '' union all select 'no name', count(*) from actors where name is null or name = ''
+    union all select 'no id', count(*) from roles where movie_id is null or actor_id is null union all select 'two roles', count(*) from (select 1 from roles group by movie_id, actor_id having count(*) > 1)
+    union all select 'no such movie', count(*) from roles where movie_id not in (select movie_id from movies) union all select 'no such actor', count(*) from roles where actor_id not in (select actor_id from actors)"""))(
+    lambda spark, d: entities.violations(t.movies(spark, d), t.actors(spark, d), t.roles(spark, d)))
+EDITED = "edited as (select movie_id, actor_id, case when position % 7 = 0 then 'new' else role end as role from roles where position % 5 <> 0 union all select movie_id, actor_id + 1000000, role from roles where position % 11 = 0)"
+
+
+@query("save_role_changes", sql("roles", f""", {EDITED} select coalesce(o.movie_id, n.movie_id) as movie_id, coalesce(o.actor_id, n.actor_id) as actor_id,
+    case when o.role is null then 'added' when n.role is null then 'removed' else 'changed' end as change
+    from roles o full join edited n on o.movie_id = n.movie_id and o.actor_id = n.actor_id where o.role is distinct from n.role"""))
+def save_role_changes(spark: SparkSession, d: str) -> DataFrame:
+    old = t.roles(spark, d)
+    kept = old.where("position % 5 <> 0").select("movie_id", "actor_id", F.when(F.col("position") % 7 == 0, "new").otherwise(F.col("role")).alias("role"))
+    return entities.role_changes(old, kept.unionByName(old.where("position % 11 = 0").select("movie_id", (F.col("actor_id") + 1_000_000).alias("actor_id"), "role")))
+
+
+@query("index_changes", sql("movies", """, retitled as (select movie_id, case movie_id % 3 when 0 then title when 1 then upper(title) else title || ' ii' end as title from movies)
+    , o as (select lower(title) as text, movie_id as id from movies), n as (select lower(title) as text, movie_id as id from retitled)
+    select text, id, 'removed' as change from (select * from o except select * from n) union all select text, id, 'added' from (select * from n except select * from o)"""))
+def index_changes(spark: SparkSession, d: str) -> DataFrame:
+    old = t.movies(spark, d)
+    title = F.when(F.col("movie_id") % 3 == 0, F.col("title")).when(F.col("movie_id") % 3 == 1, F.upper("title")).otherwise(F.concat("title", F.lit(" ii")))
+    return entities.index_changes(old, old.select("movie_id", title.alias("title")))
+
+
+# --- A dump of triples ----------------------------------------------------------------------------------------------
+
+NS = "http://rdf.example.org/ns"
+
+
+def dump(spark: SparkSession, d: str) -> DataFrame:
+    """The entities as lines of triples; every seventh supplier has no name, and labels come in two languages."""
+
+    def line(subject: Column, predicate: str, obj: Column) -> Column:
+        return F.concat(F.lit(f"<{NS}/"), subject, F.lit(f">\t<{NS}/{predicate}>\t"), obj, F.lit("\t."))
+
+    def ref(kind: str, column: str) -> Column:
+        return F.concat(F.lit(kind), F.col(column).cast("string"))
+
+    r, m = t.roles(spark, d), t.movies(spark, d)
+    a = t.actors(spark, d).where("actor_id % 7 <> 0")
+    subject = F.concat(F.lit("p."), F.col("movie_id").cast("string"), F.lit("_"), F.col("actor_id").cast("string"))
+
+    def node(c: Column) -> Column:
+        return F.concat(F.lit(f"<{NS}/"), c, F.lit(">"))
+
+    def literal(c: Column, suffix: str) -> Column:
+        return F.concat(F.lit('"'), c, F.lit('"' + suffix))
+
+    parts = [
+        r.select(line(subject, triples.FILM, node(ref("m.", "movie_id"))).alias("value")), r.select(line(subject, triples.ACTOR, node(ref("a.", "actor_id"))).alias("value")),
+        r.select(line(subject, triples.CHARACTER, literal(F.col("role"), "@en")).alias("value")), m.select(line(ref("m.", "movie_id"), triples.NAME, literal(F.col("title"), "@en")).alias("value")),
+        m.select(line(ref("m.", "movie_id"), triples.NAME, literal(F.col("title"), "@fr")).alias("value")), a.select(line(ref("a.", "actor_id"), triples.NAME, literal(F.col("name"), "@en")).alias("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+ROLE_TRIPLES = """select 'p.' || movie_id || '_' || actor_id as subject, 'performance.film' as predicate, 'm.' || movie_id as object from roles
+    union all select 'p.' || movie_id || '_' || actor_id, 'performance.actor', 'a.' || actor_id from roles union all select 'p.' || movie_id || '_' || actor_id, 'performance.character', role from roles"""
+query("rdf_filter", sql("movies actors roles", f"""{ROLE_TRIPLES} union all select 'm.' || movie_id, 'object.name', title from movies where movie_id in (select movie_id from roles)
+    union all select 'a.' || actor_id, 'object.name', name from actors where actor_id % 7 <> 0 and actor_id in (select actor_id from roles)"""))(lambda spark, d: triples.wanted(triples.parsed(dump(spark, d))))
+PERFORMED = "select 'm.' || movie_id as film, title, 'a.' || actor_id as actor, name, role from roles join movies using (movie_id) join actors using (actor_id) where actor_id % 7 <> 0"
+query("rdf_load", sql("movies actors roles", PERFORMED))(lambda spark, d: triples.loaded(triples.parsed(dump(spark, d))))
+query("join_rdf_names", sql("movies actors roles", f"select film, count(*) as performances from ({PERFORMED}) group by film"))(lambda spark, d: triples.loaded(triples.parsed(dump(spark, d))).groupBy("film").agg(F.count("*").alias("performances")))
+query("fn_regex_rdf", sql("movies actors roles", f"""{ROLE_TRIPLES} union all select 'm.' || movie_id, 'object.name', title from movies union all select 'a.' || actor_id, 'object.name', name from actors where actor_id % 7 <> 0"""))(
+    lambda spark, d: triples.parsed(dump(spark, d)))
+
+# --- Scalar functions -----------------------------------------------------------------------------------------------
+
+
+def on_table(name: str, table: str, columns: dict[str, Column | Callable[[], Column]], oracle: str) -> None:
+    query(name, oracle)(lambda spark, d: t.read(spark, d, table).select(*((c() if callable(c) else c).alias(k) for k, c in columns.items())))
+
+
+on_table("fn_lower", "part", {"p_partkey": lambda: F.col("p_partkey"), "low": lambda: F.lower("p_name")}, "select p_partkey, lower(p_name) as low from part")
+on_table("fn_prefix", "supplier", {"s_suppkey": lambda: F.col("s_suppkey"), "hit": lambda: F.lower("s_name").startswith("supplier#00000001")}, "select s_suppkey, starts_with(lower(s_name), 'supplier#00000001') as hit from supplier")
+on_cells("fn_default", lambda c: c.select("key", "time", F.coalesce("value", F.lit(-1.0)).alias("value")), "select key, time, coalesce(value, -1.0) as value from cells")
+on_table("fn_base36", "orders", {"o_orderkey": lambda: F.col("o_orderkey"), "base36": lambda: scalars.base36(F.col("o_orderkey") * 7919)},
+         "select o_orderkey, (select string_agg(substr('0123456789abcdefghijklmnopqrstuvwxyz', ((o_orderkey * 7919) // (36 ** i)::bigint % 36)::int + 1, 1), '' order by i desc) from range(0, 12) r(i) where i = 0 or (36 ** i)::bigint <= o_orderkey * 7919) as base36 from orders")
+on_table("fn_hex", "part", {"p_partkey": lambda: F.col("p_partkey"), "hex": lambda: scalars.hex_bytes(F.col("p_name").cast("binary"))}, "select p_partkey, lower(hex(p_name)) as hex from part")
+on_table("fn_decode", "orders", {"o_orderkey": lambda: F.col("o_orderkey"), "n": lambda: scalars.bytes_to_long(F.unhex(F.hex("o_orderkey"))), "s": lambda: F.decode(F.col("o_orderpriority").cast("binary"), "UTF-8")}, "select o_orderkey, o_orderkey as n, o_orderpriority as s from orders")
+on_table("fn_parse_u64", "orders", {"o_orderkey": lambda: F.col("o_orderkey"), "dec": lambda: scalars.parse_unsigned(F.col("o_orderkey").cast("string")), "hex": lambda: scalars.parse_unsigned(F.concat(F.lit("0x"), F.hex("o_orderkey"))),
+         "oct": lambda: scalars.parse_unsigned(F.concat(F.lit("0"), F.conv(F.col("o_orderkey").cast("string"), 10, 8))), "bad": lambda: scalars.parse_unsigned(F.concat(F.lit("-"), F.col("o_orderkey").cast("string")))},
+         "select o_orderkey, o_orderkey as dec, o_orderkey as hex, o_orderkey as oct, null::bigint as bad from orders")
+on_table("fn_parse_num", "orders", {"o_orderkey": lambda: F.col("o_orderkey"), "i": lambda: F.substring("o_orderpriority", 1, 1).try_cast("int"), "bad": lambda: F.col("o_orderpriority").try_cast("int"), "x": lambda: F.col("o_totalprice").cast("string").try_cast("double")},
+         "select o_orderkey, try_cast(substr(o_orderpriority, 1, 1) as int) as i, try_cast(o_orderpriority as int) as bad, o_totalprice as x from orders")
+on_cells("fn_clock_arith", lambda c: c.select("key", "time", scalars.clock_add(F.col("time"), 1).alias("after"), scalars.clock_add(F.col("time"), -1).alias("before"), F.greatest("time", F.lit(LATER)).alias("hi"), F.least("time", F.lit(LATER)).alias("lo")),
+         f"select key, time, time + 1 as after, time - 1 as before, greatest(time, {LATER}) as hi, least(time, {LATER}) as lo from cells")
+on_cells("fn_clock_time", lambda c: c.select("key", "time", scalars.timestamp_to_clock(scalars.clock_to_timestamp(F.col("time"))).alias("back"), scalars.hex_clock(F.col("time")).alias("hex")), "select key, time, time as back, lpad(lower(hex(time)), 16, '0') as hex from cells")
+on_cells("fn_http_date", lambda c: c.select("key", "time", scalars.http_date(F.col("time")).alias("date")), "select key, time, strftime(make_timestamp(time), '%a, %d %b %Y %H:%M:%S GMT') as date from cells")
+on_cells("fn_iso_date", lambda c: c.select("key", "time", scalars.iso_date(F.col("time")).alias("date")), "select key, time, strftime(make_timestamp(time), '%Y-%m-%d') as date from cells")
+on_table("fn_json_get", "events", {"event_id": lambda: F.col("event_id"), "k": lambda: scalars.json_value(F.col("props"), "k")}, "select event_id, json_extract_string(props, '$.k') as k from events")
+on_table("fn_json_path", "events", {"event_id": lambda: F.col("event_id"), "path": lambda: scalars.json_path(F.lit("/events"), F.col("event_type"))}, "select event_id, '/events/' || event_type as path from events")
+on_table("fn_json_validate", "events", {"event_id": lambda: F.col("event_id"), "errors": lambda: F.array_join(scalars.json_errors(F.col("props"), {"k": ("int", "0..5"), "name": ("string", None)}), "; ")},
+         "select event_id, case when json_extract_string(props, '$.k')::int between 0 and 5 then '' else '/k: out of range 0..5; ' end || '/name: required' as errors from events")
+on_table("fn_array_merge", "orders", {"o_orderkey": lambda: F.col("o_orderkey"), "items": lambda: text(scalars.array_put(F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>"), F.col("o_custkey"), lambda x: x == F.col("o_orderkey") % 5)),
+         "less": lambda: text(scalars.array_drop(F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>"), lambda x: x == F.col("o_orderkey") % 5))},
+         """select o_orderkey, case o_orderkey % 5 when 1 then o_custkey || ',2,3' when 2 then '1,' || o_custkey || ',3' when 3 then '1,2,' || o_custkey else o_custkey || ',1,2,3' end as items,
+         case o_orderkey % 5 when 1 then '2,3' when 2 then '1,3' when 3 then '1,2' else '1,2,3' end as less from orders""")
+query("fn_array_filter", f"select l_suppkey, array_to_string(list_filter(x, lambda e: e < 25), ',') as low, len(list_filter(x, lambda e: e = 7)) > 0 as has7 from ({PAIR})")(
+    lambda spark, d: pair(spark, d).select("l_suppkey", text(F.array_sort(F.filter("x", lambda e: e < 25))).alias("low"), F.exists("x", lambda e: e == 7).alias("has7")))
+query("fn_murmur32")(lambda spark, d: t.read(spark, d, "part").select("p_partkey", hashing.slice_hash(F.lit(0xBE).cast("long"), F.col("p_name").cast("binary")).alias("hash")))
