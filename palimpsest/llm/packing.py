@@ -75,7 +75,7 @@ class WordEncoder:
 
     def part(self, p: str) -> bytes:
         if (ids := self.parts.get(p)) is None:
-            shown = p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS)
+            shown = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_LETTERS)
             ids = self.parts[p] = _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
         return ids
 

@@ -163,13 +163,21 @@ def mask(text: bytes, automata: dict[str, Automaton], mark: bytes) -> bytes:
 
 
 def mask_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the secrets of ``text`` replaced; no row goes, and a null text stays null."""
+    """``docs`` with the secrets of ``text`` replaced; no row goes, and a null text stays null.
+
+    Where there is an ``n_chars``, it becomes the new length of the texts that change.
+    """
     automata = formats(checkpoint(scan_rules(docs).select("base", "words").where(F.size("base") > 0)))
     schema, replace = docs.schema, partial(mask, automata=automata, mark=mark.encode())
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         i = b.schema.get_field_index("text")
-        clean = [None if t is None else replace(t).decode() for t in b.column(i).cast(pa.binary()).to_pylist()]
-        return b.set_column(i, b.schema.field(i), pa.array(clean, b.schema.field(i).type))
+        old = b.column(i).cast(pa.binary()).to_pylist()
+        clean = [None if t is None else replace(t) for t in old]
+        b = b.set_column(i, b.schema.field(i), pa.array(clean, pa.binary()).cast(b.schema.field(i).type))
+        if (k := b.schema.get_field_index("n_chars")) < 0:
+            return b
+        sizes = [n if new == t else len(new.decode()) for n, t, new in zip(b.column(k).to_pylist(), old, clean, strict=True)]
+        return b.set_column(k, b.schema.field(k), pa.array(sizes, b.schema.field(k).type))
 
     return arrow_map(docs, batch, schema)
