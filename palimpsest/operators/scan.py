@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.model import MAX_TIME, MIN_TIME, Bound, exclusive, in_key_order, inclusive
@@ -42,12 +43,11 @@ def merge(parts: list[DataFrame], rank: str = "source_rank") -> DataFrame:
 def page(cells: DataFrame, rows: int) -> DataFrame:
     """The first ``rows`` cells in order, and the next one, marked as where the next page begins.
 
-    A top-k: each task keeps rows + 1 cells at most.
+    A top-k: each task keeps rows + 1 cells at most, and so many are numbered.
     """
     first = in_key_order(cells).limit(rows + 1)
-    last = first.agg(F.count("*").alias("n"), F.max(F.struct("key", (-F.col("time")).alias("t"))).alias("last"))
-    at = F.struct("key", (-F.col("time")).alias("t"))
-    return first.crossJoin(F.broadcast(last)).select(*cells.columns, ((F.col("n") > rows) & (at == F.col("last"))).alias("is_next"))
+    place = F.row_number().over(W.orderBy(F.col("key").asc(), F.col("time").desc()))
+    return first.select(*cells.columns, (place > rows).alias("is_next"))
 
 
 def http_scan(

@@ -40,8 +40,8 @@ def chosen_tiers(tiers: DataFrame, also: Column | None = None) -> DataFrame:
     """
     newer = F.coalesce(F.sum("bytes").over(W.orderBy(F.desc("gen")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     picked = F.col("bytes") < newer if also is None else (F.col("bytes") < newer) | also
-    oldest = tiers.withColumn("_pick", picked).where("_pick").agg(F.min("gen").alias("_oldest"))
-    return tiers.crossJoin(F.broadcast(oldest)).where(F.col("gen") >= F.col("_oldest")).drop("_oldest")
+    oldest = tiers.withColumn("_pick", picked).where("_pick").agg(F.min("gen"))
+    return tiers.where(F.col("gen") >= oldest.scalar())
 
 
 def audit(snapshot: DataFrame) -> DataFrame:

@@ -46,10 +46,9 @@ def outcome(ops: DataFrame, cells: DataFrame, clock: int) -> DataFrame:
 
 def appended(ops: DataFrame, cells: DataFrame, clock: int) -> DataFrame:
     """The cells that the batch adds: none if anything conflicts. hold adds nothing, delete a tombstone."""
-    done = outcome(ops, cells, clock).where(F.col("wt").isNotNull()).select("wt")
-    changes = ops.where(F.col("op") != "hold")
+    wt = outcome(ops, cells, clock).select("wt").scalar()
     value = F.when(F.col("op") != "delete", F.col("value"))
-    return changes.crossJoin(F.broadcast(done)).select("key", F.col("wt").alias("time"), value.alias("value"))
+    return ops.where(F.col("op") != "hold").select("key", wt.alias("time"), value.alias("value")).where(F.col("time").isNotNull())
 
 
 def appliable(ops: DataFrame, cells: DataFrame) -> DataFrame:

@@ -102,3 +102,17 @@ def test_take_while_and_receive(spark):
     assert sorted((r["key"], r["time"], r["stopped"]) for r in got) == [(1, 2, True), (1, 3, False), (2, 1, True)]
     known = cells(spark, [(1, 3, 9.0)])
     assert sorted((r["key"], r["time"], r["value"]) for r in sets.received(c, known).where("value is not null").collect()) == [(1, 1, 1.0), (1, 3, 9.0)]
+
+
+def test_asof_equals_brute_force_over_buckets(spark):
+    import random
+
+    random.seed(4)
+    versions = sorted({(random.choice((1, 1, 1, 2, 3)), random.randrange(400)) for _ in range(300)})
+    c = cells(spark, [(k, t, None if t % 5 == 0 else float(t)) for k, t in versions])
+    asked = [(i, random.choice((1, 2, 3, 4)), random.randrange(450)) for i in range(200)]
+    o = spark.createDataFrame(asked, "op_index int, key long, rt long")
+    want = {i: max((t for k2, t in versions if k2 == k and t <= rt), default=None) for i, k, rt in asked}
+    for width in (7, 50, 10**6):
+        got = {r["op_index"]: r["found"] and r["found"]["time"] for r in asof.newest_upto(o, c, ("key",), width=width).collect()}
+        assert got == want
