@@ -15,11 +15,14 @@ from palimpsest.model import MIN_TIME, Bound, exclusive, inclusive
 
 
 def newest(cells: DataFrame, *keys: str) -> DataFrame:
-    """The newest cell of every key."""
+    """The newest cell of every key. A key has one cell at a time at most: dedupe() first where it may have more.
+
+    One ``max_by`` a column, not one of a struct: buffers of plain numbers allow a hash
+    aggregate, where a struct would have each task sort its cells.
+    """
     keys = keys or ("key",)
-    rest = [c for c in cells.columns if c not in keys]
-    found = cells.groupBy(*keys).agg(F.max_by(F.struct(*rest), "time").alias("_newest"))
-    return found.select(*keys, "_newest.*").select(*cells.columns)
+    rest = [F.max_by(c, "time").alias(c) for c in cells.columns if c not in (*keys, "time")]
+    return cells.groupBy(*keys).agg(F.max("time").alias("time"), *rest).select(*cells.columns)
 
 
 def between(cells: DataFrame, later: Bound, earlier: Bound = inclusive(MIN_TIME)) -> DataFrame:
@@ -53,8 +56,8 @@ def retire(cells: DataFrame, limit: int) -> DataFrame:
 
 def dedupe(cells: DataFrame, rank: str) -> DataFrame:
     """One cell for each key and time: that of the least ``rank`` (the newest tier)."""
-    rest = [c for c in cells.columns if c not in ("key", "time")]
-    return cells.groupBy("key", "time").agg(F.min_by(F.struct(*rest), rank).alias("_first")).select("key", "time", "_first.*").select(*cells.columns)
+    rest = [F.min_by(c, rank).alias(c) for c in cells.columns if c not in ("key", "time", rank)]
+    return cells.groupBy("key", "time").agg(F.min(rank).alias(rank), *rest).select(*cells.columns)
 
 
 def clean(cells: DataFrame, limit: int, rank: str, resident: Column) -> DataFrame:
