@@ -22,8 +22,8 @@ from palimpsest.llm.sharding import number_slots
 CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Words, and parts of words, whose ids a Python worker keeps; beyond that it begins anew.
-CACHED_WORDS = 500_000
-CACHED_PARTS = 800_000
+CACHED_WORDS = 200_000
+CACHED_PARTS = 400_000
 #: How this tokenizer cuts lower-case words without an apostrophe.
 PARTS = regex.compile(r"\p{L}+|\p{N}|[^\x85\xa0\p{L}\p{N}]+")
 #: Up to this letter, no letter combines with its neighbours or changes case by context.
