@@ -39,6 +39,8 @@ VIEW_RADIUS = RADIUS // len(VIEWS)
 LEAF_SIZE = 1024
 #: Leaves with more fingerprints than this are compared in tiles, each a task's group of its own.
 TILE = 4096
+#: Parts in which a group's fingerprints are dealt out to learn the group's least doc_id.
+SALTS = 32
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -176,8 +178,11 @@ def with_components(prints: DataFrame) -> DataFrame:
     links = fingerprint_links(distinct, distinct.count())
     roots = connected_components(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    component = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return prints.join(component, "fp")
+    groups = placed.groupBy("root").agg(F.min("least").alias("group_least"), F.count("*").alias("members")).where("members > 1")
+    # A group may hold a third of all fingerprints: they meet their group's row in SALTS parts.
+    salted = groups.select("root", "group_least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    component = placed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left")
+    return prints.join(component.select("fp", "root", F.coalesce("group_least", "least").alias("component_id")), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
