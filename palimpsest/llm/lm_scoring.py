@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +40,6 @@ RATES = (0.02,)
 LANES = 128
 #: Documents are laid side by side in groups of so many tokens at most.
 GROUP_TOKENS = 4_000_000
-#: Partial averages that reach the driver.
-AVERAGES = 16
 _FLUSH = 500_000
 
 
@@ -156,16 +153,12 @@ def averaged_round(training: DataFrame, network: Network, shared: Broadcast, rat
             trainer.learn([codes % CLASSES for _, codes in coded(texts(b), vocabulary)])
         if trainer.tokens:
             weighted = trainer.network.vector().astype(np.float64) * trainer.tokens
-            yield pa.RecordBatch.from_pydict({"tokens": [trainer.tokens], "weighted": [weighted.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"weighted": pa.array([[*weighted, trainer.tokens]], pa.list_(pa.float64()))})
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.float64) for x in group["weighted"]], axis=0)
-        return pd.DataFrame({"tokens": [int(group["tokens"].sum())], "weighted": [total.tobytes()]})
-
-    parts = training.select("text").mapInArrow(run, "tokens long, weighted binary").withColumn("k", F.pmod(F.xxhash64("weighted"), F.lit(AVERAGES)))
-    sums = parts.groupBy("k").applyInPandas(add, "tokens long, weighted binary").collect()
-    tokens = sum(r["tokens"] for r in sums)
-    return network.load(np.sum([np.frombuffer(r["weighted"], np.float64) for r in sorted(sums, key=lambda r: r["weighted"])], axis=0) / tokens) if tokens else network
+    # Added up by place in the vector: no task holds many vectors, and as many sums as a network has numbers come back.
+    places = training.select("text").mapInArrow(run, "weighted array<double>").select(F.posexplode("weighted").alias("place", "x"))
+    sums = np.array([r["x"] for r in places.groupBy("place").agg(F.sum("x").alias("x")).orderBy("place").collect()])
+    return network.load(sums[:-1] / sums[-1]) if len(sums) else network
 
 
 def score(docs: DataFrame) -> DataFrame:
