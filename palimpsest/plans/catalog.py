@@ -58,6 +58,30 @@ def written_cells(spark: SparkSession, d: str, name: str) -> str:
     return path
 
 
+def murmur_sql(table_id: int, key: str) -> str:
+    """DuckDB's SQL for the slice hash of an ASCII text: its four-byte words folded one by one, then the rest."""
+
+    def low(x: str) -> str:
+        return f"(({x}) & 4294967295::ubigint)"
+
+    def rotate(x: str, by: int) -> str:
+        return low(f"(({x}) << {by}) | (({x}) >> {32 - by})")
+
+    def scramble(k: str) -> str:
+        return low(rotate(low(f"({k}) * 3432918353::ubigint"), 15) + " * 461845907::ubigint")
+
+    def number(start: str, stop: str) -> str:
+        return f"coalesce(list_sum(list_transform(range({start}, {stop}), lambda j: ascii(substr({key}, j + 1, 1))::ubigint << ((j - ({start})) * 8)::ubigint)), 0)::ubigint"
+
+    n = f"length({key})"
+    words = f"list_concat([0::ubigint, {table_id}::ubigint, 0::ubigint, {n}::ubigint], list_transform(range(0, {n} // 4), lambda i: {number('i * 4', 'i * 4 + 4')}))"
+    folded = f"list_reduce({words}, lambda h, k: {low(rotate('xor(h, ' + scramble('k') + ')', 13) + ' * 5::ubigint + 3864292196::ubigint')})"
+    h = f"xor(xor({folded}, {scramble(number(f'{n} // 4 * 4', n))}), (12 + {n})::ubigint)"
+    for by, times in ((16, 2246822507), (13, 3266489909)):
+        h = f"list_reduce([{h}, 0::ubigint], lambda x, y: {low(f'xor(x, x >> {by}) * {times}::ubigint')})"
+    return f"list_reduce([{h}, 0::ubigint], lambda x, y: xor(x, x >> 16))::bigint"
+
+
 LATEST = "select * from cells where {} qualify row_number() over (partition by key order by time desc) = 1"
 IN_RANGE = f"time > {EARLIER} and time <= {LATER}"
 THROUGH = f"select * from cells where {IN_RANGE} union all (" + LATEST.format(f"time <= {EARLIER}") + ")"
@@ -156,12 +180,13 @@ def scan_replicas(spark: SparkSession, d: str) -> DataFrame:
     return windows.dedupe(scan.merge(replicas), "source_rank").select("key", "time", "value")
 
 
-@query("slice_key")
+@query("slice_key", sql("cells", f"select key, time, value, {murmur_sql(1, 'key::varchar')} & 3 as slice from cells"))
 def slice_key(spark: SparkSession, d: str) -> DataFrame:
     return t.cells(spark, d).withColumn("slice", hashing.slice_hash(F.lit(1).cast("long"), F.col("key").cast("string").cast("binary")).bitwiseAND(3))
 
 
-@query("place")
+@query("place", sql("cells", f"""select key, bucket, 'host' || bucket % 4 || ',host' || (bucket + 1) % 4 || ',host' || (bucket + 2) % 4 as hosts
+    from (select key, {murmur_sql(1, "key::varchar")} & 7 as bucket from (select distinct key from cells))"""))
 def place(spark: SparkSession, d: str) -> DataFrame:
     """Keys and their bucket, and the hosts that an atlas of eight cohorts has for it."""
     atlas = spark.createDataFrame([(b, [f"host{(b + i) % 4}" for i in range(3)]) for b in range(8)], "bucket long, hosts array<string>")
@@ -591,4 +616,4 @@ on_table("fn_array_merge", "orders", {"o_orderkey": lambda: F.col("o_orderkey"),
          case o_orderkey % 5 when 1 then '2,3' when 2 then '1,3' when 3 then '1,2' else '1,2,3' end as less from orders""")
 query("fn_array_filter", f"select l_suppkey, array_to_string(list_filter(x, lambda e: e < 25), ',') as low, len(list_filter(x, lambda e: e = 7)) > 0 as has7 from ({PAIR})")(
     lambda spark, d: pair(spark, d).select("l_suppkey", text(F.array_sort(F.filter("x", lambda e: e < 25))).alias("low"), F.exists("x", lambda e: e == 7).alias("has7")))
-query("fn_murmur32")(lambda spark, d: t.read(spark, d, "part").select("p_partkey", hashing.slice_hash(F.lit(0xBE).cast("long"), F.col("p_name").cast("binary")).alias("hash")))
+query("fn_murmur32", f"select p_partkey, {murmur_sql(0xBE, 'p_name')} as hash from part")(lambda spark, d: t.read(spark, d, "part").select("p_partkey", hashing.slice_hash(F.lit(0xBE).cast("long"), F.col("p_name").cast("binary")).alias("hash")))
