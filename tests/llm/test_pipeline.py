@@ -53,3 +53,11 @@ def test_registered():
 
     names = driver.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_stages_take_odd_rows_and_none(spark, sf_dir, odd, nothing):
+    for _, stage in P.STAGES[:-1]:
+        kept = stage(spark, odd, sf_dir)
+        assert kept.columns == odd.columns and 0 < kept.count() <= odd.count()
+        assert stage(spark, nothing, sf_dir).count() == 0
+    assert P.packed(spark, odd, sf_dir).select("sequence_id", "offset").distinct().count() == P.packed(spark, odd, sf_dir).count()
