@@ -63,8 +63,9 @@ def base_failed() -> Column:
 
 
 def value(name: str) -> Column:
+    """The measure; of a text without words, which the base rules reject anyway, as if it had one."""
     count, unit, _, _ = MEASURES[name]
-    return F.expr(f"{unit} * {count} div n_words")
+    return F.expr(f"{unit} * {count} div greatest(n_words, 1)")
 
 
 def bucket(v: Column) -> Column:
