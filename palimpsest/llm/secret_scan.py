@@ -54,8 +54,15 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: bytes, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Runs that could be credentials and that no rule's find touches."""
-    return [("format", a, b) for a, b in (m.span() for m in CANDIDATE.finditer(text)) if not any(a < y and x < b for _, x, y in found)]
+    """Runs that could be credentials and that no rule's find touches; ``found`` is in order of start."""
+    out, at, reach = [], 0, 0
+    for a, b in (m.span() for m in CANDIDATE.finditer(text)):
+        while at < len(found) and found[at][1] < b:
+            reach = max(reach, found[at][2])
+            at += 1
+        if reach <= a:
+            out.append(("format", a, b))
+    return out
 
 
 def in_code_points(text: bytes, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

@@ -31,6 +31,16 @@ def test_rules_equal_plain_ones(spark, documents, odd):
             assert [s.split(":")[0] for s in r["spans"].split(",") if s and not s.startswith("format")].count("hex") == r["n_hex"]
 
 
+def test_candidates_are_the_runs_that_no_find_touches():
+    rng = random.Random(5)
+    pieces = ["token = abcdef123456", "deadbeef" * 4, "AKIA" + "A1" * 10, "x9y8z7w6v5u4t3", "plain", "password: a1b2c3d4e5f6g7", "k1" * 8 + ".", "é"]
+    for _ in range(200):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", "", "=", "\n"]) for _ in range(30)).encode()
+        found = S.base_spans(text)
+        runs = [m.span() for m in S.CANDIDATE.finditer(text)]
+        assert S.candidates(text, found) == [("format", a, b) for a, b in runs if not any(a < y and x < b for _, x, y in found)]
+
+
 def test_formats_are_learned_and_words_are_left_alone(spark):
     rng = random.Random(3)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
