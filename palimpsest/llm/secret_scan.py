@@ -2,7 +2,7 @@
 
 The rules' finds are labelled credentials. From a bounded sample of their distinct values a
 probabilistic automaton is inferred for each kind, and one more for ordinary words. Every
-other token that could be a credential is then scored by how much likelier a credential's
+other run that has a letter is then scored by how much likelier a credential's
 format makes it than the words' does, and those beyond a threshold are secrets too.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.automata import Automaton, infer
+from palimpsest.llm.automata import CLASSES, Automaton, infer
 from palimpsest.llm.common import arrow_map, checkpoint, table, texts
 
 KINDS = ("assign", "access", "hex", "format")
@@ -25,8 +25,8 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"(?<![0-9a-f])[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
-#: What may be a credential without a rule that says so: a run with digits and letters.
-CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}(?![A-Za-z0-9+/_=@-])(?!\.[A-Za-z0-9])")
+#: What may be a credential without a rule that says so: a run with a letter, of parts that single dots join. Digits alone are numbers.
+CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_=-])(?<![A-Za-z0-9+/_=-]\.)(?=(?:[0-9+/_=-]|\.(?!\.))*[A-Za-z])[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 WORD = re.compile(rb"[A-Za-z][A-Za-z0-9_-]{3,}")
 #: Distinct examples of a kind, and of words, that an automaton is inferred from.
 EXAMPLES = 400
@@ -36,6 +36,9 @@ MARGIN = 3.0
 LEAST_PER_CHARACTER = -1.75
 #: Words looked at in a text for the words' automaton: one in so many, by hash.
 WORD_SHARE = 64
+#: Shapes whose scores a task remembers at once, and the longest that it does.
+REMEMBERED, LONGEST_REMEMBERED = 1 << 17, 64
+_SYMBOLS = bytes(ord(CLASSES.get(chr(c), chr(c))) for c in range(256))
 
 
 def base_spans(text: bytes) -> list[tuple[str, int, int]]:
@@ -79,27 +82,18 @@ def labelled_value(kind: str, match: bytes) -> str:
 
 
 def scan_rules(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base, candidates, words): one pass over the texts.
+    """(base, words): one pass over the texts; base is an array of (kind, value)."""
+    entry = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
 
-    base and candidates are arrays of (kind, start, end, value) with code points.
-    """
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string())])
-    fields = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("candidates", pa.list_(span)), ("words", pa.list_(pa.string()))])
-
-    def entries(text: bytes, spans: list) -> list[dict]:
-        return [{"kind": k, "start": a, "stop": b, "value": labelled_value(k, text[x:y])} for (k, a, b), (_, x, y) in zip(in_code_points(text, spans), spans, strict=True)]
-
-    def batch(b: pa.RecordBatch) -> pa.Table:
-        base, maybe, some_words = [], [], []
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        base, some_words = [], []
         for text in texts(b):
             found = base_spans(text)
-            base.append(entries(text, found))
-            maybe.append(entries(text, candidates(text, found)))
+            base.append([{"kind": k, "value": labelled_value(k, text[x:y])} for k, x, y in found])
             some_words.append(sorted({w.decode() for w in WORD.findall(text) if hash_of(w) % WORD_SHARE == 0}) if found else [])
-        return pa.table([b.column("doc_id"), pa.array(base, fields[1].type), pa.array(maybe, fields[2].type), pa.array(some_words, fields[3].type)], schema=fields)
+        return pa.RecordBatch.from_arrays([pa.array(base, entry), pa.array(some_words, pa.list_(pa.string()))], ["base", "words"])
 
-    entry = "array<struct<kind string, start long, stop long, value string>>"
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), batch, f"doc_id long, base {entry}, candidates {entry}, words array<string>")
+    return arrow_map(docs.select("text"), batch, "base array<struct<kind string, value string>>, words array<string>")
 
 
 def hash_of(word: bytes) -> int:
@@ -128,6 +122,29 @@ def is_credential(value: str, automata: dict[str, Automaton]) -> bool:
     return best >= LEAST_PER_CHARACTER * (len(value) + 1) and best - automata["word"].log10(value) >= MARGIN
 
 
+def by_format(text: bytes, found: list[tuple[str, int, int]], automata: dict[str, Automaton], known: dict[bytes, bool]) -> list[tuple[str, int, int]]:
+    """The candidates that are credentials. ``known`` remembers answers by shape, on which alone they depend."""
+    if "word" not in automata or len(automata) == 1:
+        return []
+    out = []
+    for s in candidates(text, found):
+        value = text[s[1] : s[2]]
+        shape = value.translate(_SYMBOLS)
+        if (answer := known.get(shape)) is None:
+            answer = is_credential(value.decode(), automata)
+            if len(shape) <= LONGEST_REMEMBERED:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[shape] = answer
+        if answer:
+            out.append(s)
+    return out
+
+
+def learned(docs: DataFrame) -> dict[str, Automaton]:
+    return formats(checkpoint(scan_rules(docs).where(F.size("base") > 0)))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of ``docs`` (doc_id, text).
 
@@ -138,29 +155,28 @@ def scan(docs: DataFrame) -> DataFrame:
     nothing; repeated rows are scanned each; where the rules find nothing at all there is
     nothing to learn and no span is added; an empty table gives no rows; other columns are ignored.
     """
-    scanned = checkpoint(scan_rules(docs))
-    automata = formats(scanned)
+    automata, known = learned(docs), {}
 
     def batch(b: pa.RecordBatch) -> pa.Table:
         rows = []
-        for doc_id, base, maybe in zip(b.column("doc_id").to_pylist(), b.column("base").to_pylist(), b.column("candidates").to_pylist(), strict=True):
-            own = [(s["kind"], s["start"], s["stop"]) for s in base]
-            more = [(s["kind"], s["start"], s["stop"]) for s in maybe if is_credential(s["value"], automata)]
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
+            own = base_spans(text)
+            more = by_format(text, own, automata, known)
             counts = [sum(s[0] == k for s in own) for k in KINDS[:3]]
-            rows.append((doc_id, *counts, hashlib.sha256(shown(own).encode()).hexdigest(), shown(in_order(own + more))))
+            rows.append((doc_id, *counts, hashlib.sha256(shown(in_code_points(text, own)).encode()).hexdigest(), shown(in_code_points(text, in_order(own + more)))))
         return pa.table(list(map(list, zip(*rows, strict=True))), schema=pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())]))
 
-    return arrow_map(scanned.select("doc_id", "base", "candidates"), batch, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), batch, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op10_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-def mask(text: bytes, automata: dict[str, Automaton], mark: bytes) -> bytes:
+def mask(text: bytes, automata: dict[str, Automaton], mark: bytes, known: dict[bytes, bool]) -> bytes:
     """The text with every find, by rule or by format, replaced by ``mark``; finds that overlap count as one."""
     found = base_spans(text)
-    found = in_order(found + [s for s in candidates(text, found) if is_credential(text[s[1] : s[2]].decode(), automata)])
+    found = in_order(found + by_format(text, found, automata, known))
     out, at = [], 0
     for _, a, b in found:
         if a >= at:
@@ -174,8 +190,7 @@ def mask_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Where there is an ``n_chars``, it becomes the new length of the texts that change.
     """
-    automata = formats(checkpoint(scan_rules(docs).select("base", "words").where(F.size("base") > 0)))
-    schema, replace = docs.schema, partial(mask, automata=automata, mark=mark.encode())
+    schema, replace = docs.schema, partial(mask, automata=learned(docs), mark=mark.encode(), known={})
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         i = b.schema.get_field_index("text")

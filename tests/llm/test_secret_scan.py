@@ -73,3 +73,22 @@ def test_masking(documents, odd, nothing):
         assert "[SECRET]" in r["text"] or r["text"] == same[r["doc_id"]]
         assert r["n_chars"] == len(r["text"])
     assert S.mask_secrets(odd).where("text IS NULL").count() == 1 and S.mask_secrets(nothing).count() == 0 and S.scan(nothing).count() == 0
+
+
+def test_dots_addresses_and_runs_without_digits_hide_nothing(spark):
+    rng = random.Random(8)
+    letters, both = "abcdefABCDEF", "abcdefABCDEF0123456789"
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    jwt = lambda: "eyJ" + some(both, 30) + ".eyJ" + some(both, 30) + "." + some(both, 43)
+    kinds = [jwt, lambda: some(letters, 36), lambda: some(both, 10), lambda: some(both, 14)]
+    syllables = "the tion ing er and or ble sh th re".split()
+    prose = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 6))) for _ in range(60)) for _ in range(400)]
+    rows = [(i, f"{p} token = {kinds[i % 4]()} {p}") for i, p in enumerate(prose)]
+    hidden = [jwt(), some(letters, 36), "b7Fa9EcA2d", "f9C8a7B6e5d4C3"]
+    rows += [(1000 + i, f"{prose[i]} {h} and so on") for i, h in enumerate(hidden[:3])] + [(1003, f"see https://bob:{hidden[3]}@host.example for more"), (1004, prose[5] + " mail bob.smith@host.example on 555-1234")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s] for r in S.scan(docs).where("doc_id >= 1000").collect()}
+    assert {i: [texts[i][a:b] for a, b in spans] for i, spans in got.items()} == {**{1000 + i: [h] for i, h in enumerate(hidden)}, 1004: []}
+    masked = {r["doc_id"]: r["text"] for r in S.mask_secrets(docs).where("doc_id >= 1000").collect()}
+    assert not any(h in t for h in hidden for t in masked.values()) and masked[1004] == texts[1004]
