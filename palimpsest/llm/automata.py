@@ -10,11 +10,9 @@ from __future__ import annotations
 import math
 from collections import Counter, deque
 
-#: Symbols: how a character enters the automata. Letters of hexadecimal digits differ from the rest.
-CLASSES = {
-    **dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"),
-    **dict.fromkeys("ABCDEF", "A"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "G"),
-}
+#: Symbols: how a character enters the automata. Vowels differ from consonants, and hexadecimal digits from other letters.
+CLASSES = {c: k for k, own in {"0": "0123456789", "a": "ae", "b": "bcdf", "i": "iouy", "g": "ghjklmnpqrstvwxz"}.items() for c in own}
+CLASSES |= {c.upper(): k.upper() for c, k in CLASSES.items() if c.isalpha()}
 #: How many characters each symbol stands for.
 WIDTH = Counter(CLASSES.values())
 
@@ -41,19 +39,23 @@ class Automaton:
 
 
 def infer(examples: list[str], alpha: float = 0.01) -> Automaton:
-    """Merges the prefix tree of the examples (each counts once for every time it is listed)."""
-    arcs: list[dict[str, int]] = [{}]
+    """Merges the prefix tree of the examples (each counts once for every time it is listed).
+
+    Every arc has a count of its own: after a merge a state is reached by several, so its total is no arc's frequency.
+    """
+    arcs: list[dict[str, list[int]]] = [{}]
     count, stop = [0], [0]
     for text in examples:
         s = 0
         count[0] += 1
         for c in symbols(text):
             if c not in arcs[s]:
-                arcs[s][c] = len(arcs)
+                arcs[s][c] = [len(arcs), 0]
                 arcs.append({})
                 count.append(0)
                 stop.append(0)
-            s = arcs[s][c]
+            arcs[s][c][1] += 1
+            s = arcs[s][c][0]
             count[s] += 1
         stop[s] += 1
     width = math.sqrt(0.5 * math.log(2 / alpha))
@@ -69,10 +71,10 @@ def infer(examples: list[str], alpha: float = 0.01) -> Automaton:
                 return False
             for c in arcs[x].keys() | arcs[y].keys():
                 p, q = arcs[x].get(c), arcs[y].get(c)
-                if differs(count[p] if p is not None else 0, count[x], count[q] if q is not None else 0, count[y]):
+                if differs(p[1] if p else 0, count[x], q[1] if q else 0, count[y]):
                     return False
-                if p is not None and q is not None:
-                    todo.append((p, q))
+                if p and q:
+                    todo.append((p[0], q[0]))
         return True
 
     def fold(red: int, blue: int) -> None:
@@ -82,15 +84,15 @@ def infer(examples: list[str], alpha: float = 0.01) -> Automaton:
             x, y = todo.pop()
             count[x] += count[y]
             stop[x] += stop[y]
-            for c, q in arcs[y].items():
+            for c, (q, n) in arcs[y].items():
                 if c in arcs[x]:
-                    todo.append((arcs[x][c], q))
+                    arcs[x][c][1] += n
+                    todo.append((arcs[x][c][0], q))
                 else:
-                    arcs[x][c] = q
+                    arcs[x][c] = [q, n]
 
-    # Arcs between kept states carry their own counts, kept as sums over the folded trees.
-    kept, blue = [0], deque(sorted(arcs[0].items()))
-    parents = {q: (0, c) for c, q in arcs[0].items()}
+    kept, blue = [0], deque(sorted((c, q) for c, (q, _) in arcs[0].items()))
+    parents = {q: (0, c) for c, (q, _) in arcs[0].items()}
     while blue:
         _, b = blue.popleft()
         if b not in parents or b in kept:
@@ -100,22 +102,13 @@ def infer(examples: list[str], alpha: float = 0.01) -> Automaton:
         if target is None:
             kept.append(b)
         else:
-            arcs[source][c] = target
+            arcs[source][c][0] = target
             fold(target, b)
         inside = set(kept)
         for r in kept:
-            for s, q in sorted(arcs[r].items()):
+            for s, (q, _) in sorted(arcs[r].items()):
                 if q not in inside and q not in parents:
                     parents[q] = (r, s)
                     blue.append((s, q))
     number = {s: i for i, s in enumerate(kept)}
-    # A last pass over the examples counts how often each transition and stop is used.
-    used: list[dict[str, list[int]]] = [{c: [number[q], 0] for c, q in arcs[s].items()} for s in kept]
-    ends = [0] * len(kept)
-    for text in examples:
-        s = 0
-        for c in symbols(text):
-            used[s][c][1] += 1
-            s = used[s][c][0]
-        ends[s] += 1
-    return Automaton([{c: (q, n) for c, (q, n) in a.items()} for a in used], ends)
+    return Automaton([{c: (number[q], n) for c, (q, n) in arcs[s].items()} for s in kept], [stop[s] for s in kept])

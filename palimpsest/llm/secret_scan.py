@@ -1,20 +1,23 @@
 """Secret scans: fixed rules, and formats learned from what the rules find.
 
 The rules' finds are labelled credentials. From a bounded sample of their distinct values a
-probabilistic automaton is inferred for each kind, and one more for ordinary words. Every
-other run that has a letter is then scored by how much likelier a credential's
-format makes it than the words' does, and those beyond a threshold are secrets too.
+probabilistic automaton is inferred for each kind, and one more from the words of all documents.
+Every other run that has a letter is then scored by its likelihood under each kind's format: a secret
+is one that is about as likely there as the kind's own examples are, and far likelier than as a word.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from palimpsest.llm.automata import CLASSES, Automaton, infer
 from palimpsest.llm.common import arrow_map, checkpoint, table, texts
@@ -28,16 +31,18 @@ ASSIGN_LEAST = 6
 #: What may be a credential without a rule that says so: a run with a letter, of parts that single dots join. Digits alone are numbers.
 CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_=-])(?<![A-Za-z0-9+/_=-]\.)(?=(?:[0-9+/_=-]|\.(?!\.))*[A-Za-z])[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 WORD = re.compile(rb"[A-Za-z][A-Za-z0-9_-]{3,}")
-#: Distinct examples of a kind, and of words, that an automaton is inferred from.
-EXAMPLES = 400
+#: Distinct examples of a kind, and of words, that an automaton is inferred from, and the longest that are.
+EXAMPLES, LONGEST_EXAMPLE = 400, 256
 #: How many powers of ten likelier a credential must be than a word.
 MARGIN = 3.0
-#: And how likely at least, a character, on the average.
-LEAST_PER_CHARACTER = -1.75
-#: Words looked at in a text for the words' automaton: one in so many, by hash.
-WORD_SHARE = 64
+#: Powers of ten that it costs an ordinary run to be made of one more piece.
+JOIN = 1.0
+#: Of a kind's own examples so many are at least as likely, a character, as a candidate must be, give or take SLACK powers of ten.
+SHARE, SLACK = 0.98, 0.15
 #: Shapes whose scores a task remembers at once, and the longest that it does.
 REMEMBERED, LONGEST_REMEMBERED = 1 << 17, 64
+_PIECE = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
+_BETWEEN_WORDS = bytes(c if chr(c).isalnum() and c < 128 or c in b"_-" else 32 for c in range(256))
 _SYMBOLS = bytes(ord(CLASSES.get(chr(c), chr(c))) for c in range(256))
 
 
@@ -81,48 +86,90 @@ def labelled_value(kind: str, match: bytes) -> str:
     return (ASSIGN.match(match)[2] if kind == "assign" else match).decode()
 
 
-def scan_rules(docs: DataFrame) -> DataFrame:
-    """(base, words): one pass over the texts; base is an array of (kind, value)."""
-    entry = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
+class LeastHashed:
+    """The distinct values with the least hashes among all that were added; two such samples merge into their union's."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        base, some_words = [], []
-        for text in texts(b):
-            found = base_spans(text)
-            base.append([{"kind": k, "value": labelled_value(k, text[x:y])} for k, x, y in found])
-            some_words.append(sorted({w.decode() for w in WORD.findall(text) if hash_of(w) % WORD_SHARE == 0}) if found else [])
-        return pa.RecordBatch.from_arrays([pa.array(base, entry), pa.array(some_words, pa.list_(pa.string()))], ["base", "words"])
+    def __init__(self, size: int):
+        self.size, self.hashes, self.limit = size, {}, 1 << 64
 
-    return arrow_map(docs.select("text"), batch, "base array<struct<kind string, value string>>, words array<string>")
+    def add(self, values: set[bytes] | list[bytes]) -> None:
+        for v in values:
+            if (h := xxh64_intdigest(v)) < self.limit and v not in self.hashes and len(v) <= LONGEST_EXAMPLE:
+                self.hashes[v] = h
+                if len(self.hashes) >= 2 * self.size:
+                    self.hashes = dict(sorted(self.hashes.items(), key=lambda x: x[1])[: self.size])
+                    self.limit = max(self.hashes.values())
 
 
-def hash_of(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=4).digest(), "little")
+class LeastHashedWords(LeastHashed):
+    def add(self, values: set[bytes] | list[bytes]) -> None:
+        super().add([v for v in values if xxh64_intdigest(v) < self.limit and WORD.fullmatch(v)])
 
 
-def formats(scanned: DataFrame, examples: int = EXAMPLES) -> dict[str, Automaton]:
-    """An automaton for each kind that has examples, and for ``word``.
+def examples(docs: DataFrame, size: int = EXAMPLES) -> dict[str, list[str]]:
+    """By kind, and of ``word``: at most ``size`` distinct values over all documents, those with the least hashes."""
 
-    The sample: the ``examples`` distinct values of a kind with the least hashes, over all documents.
-    """
-    labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").unionByName(scanned.select(F.lit("word").alias("kind"), F.explode("words").alias("value")))
-    values = checkpoint(labelled.distinct())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {k: LeastHashed(size) for k in KINDS[:3]} | {"word": LeastHashedWords(size)}
+        for b in batches:
+            words: set[bytes] = set()
+            for text in texts(b):
+                at, rest = 0, []
+                for kind, x, y in base_spans(text):
+                    found[kind].add([labelled_value(kind, text[x:y]).encode()])
+                    rest.append(text[at:x])
+                    at = max(at, y)
+                words.update(b" ".join([*rest, text[at:]]).translate(_BETWEEN_WORDS).split())
+            found["word"].add(words)
+        rows = [(k, v.decode(), h - (1 << 63)) for k, f in found.items() for v, h in f.hashes.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "value", "hash"])
+
+    sampled = checkpoint(docs.select("text").mapInArrow(run, "kind string, value string, hash long").distinct())
     out = {}
     for kind in (*KINDS[:3], "word"):
-        rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(examples).collect()
-        if rows:
-            out[kind] = infer([r["value"] for r in rows])
+        if rows := sampled.where(F.col("kind") == kind).orderBy("hash", "value").limit(size).collect():
+            out[kind] = [r["value"] for r in rows]
     return out
 
 
-def is_credential(value: str, automata: dict[str, Automaton]) -> bool:
-    if "word" not in automata or len(automata) == 1:
+@dataclass(frozen=True)
+class Format:
+    """A kind's automaton, and how likely, a character, a candidate must be under it."""
+
+    automaton: Automaton
+    least: float
+
+
+def formats(values: dict[str, list[str]]) -> dict[str, Format]:
+    """A format for each kind that has examples, and for ``word``."""
+    out = {}
+    for kind, own in values.items():
+        automaton = infer(own)
+        likely = sorted((automaton.log10(v) / (len(v) + 1) for v in own), reverse=True)
+        out[kind] = Format(automaton, likely[int(SHARE * (len(likely) - 1))] - SLACK)
+    return out
+
+
+def log10_as_ordinary(value: str, words: Automaton) -> float:
+    """As a word, or as words, numbers and marks joined: dates, names of files, versions and the like."""
+    joined = -JOIN
+    for piece in _PIECE.findall(value):
+        joined -= JOIN
+        if piece.isalpha():
+            joined += words.log10(piece.lower() if piece.isupper() or piece[1:].islower() else piece)
+        else:
+            joined -= len(piece)
+    return max(words.log10(value), joined)
+
+
+def is_credential(value: str, known: dict[str, Format]) -> bool:
+    if "word" not in known or len(known) == 1:
         return False
-    best = max(a.log10(value) for k, a in automata.items() if k != "word")
-    return best >= LEAST_PER_CHARACTER * (len(value) + 1) and best - automata["word"].log10(value) >= MARGIN
+    likely = [x for k, f in known.items() if k != "word" and (x := f.automaton.log10(value)) >= f.least * (len(value) + 1)]
+    return bool(likely) and max(likely) - log10_as_ordinary(value, known["word"].automaton) >= MARGIN
 
 
-def by_format(text: bytes, found: list[tuple[str, int, int]], automata: dict[str, Automaton], known: dict[bytes, bool]) -> list[tuple[str, int, int]]:
+def by_format(text: bytes, found: list[tuple[str, int, int]], automata: dict[str, Format], known: dict[bytes, bool]) -> list[tuple[str, int, int]]:
     """The candidates that are credentials. ``known`` remembers answers by shape, on which alone they depend."""
     if "word" not in automata or len(automata) == 1:
         return []
@@ -141,8 +188,8 @@ def by_format(text: bytes, found: list[tuple[str, int, int]], automata: dict[str
     return out
 
 
-def learned(docs: DataFrame) -> dict[str, Automaton]:
-    return formats(checkpoint(scan_rules(docs).where(F.size("base") > 0)))
+def learned(docs: DataFrame) -> dict[str, Format]:
+    return formats(examples(docs))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -173,7 +220,7 @@ def op10_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-def mask(text: bytes, automata: dict[str, Automaton], mark: bytes, known: dict[bytes, bool]) -> bytes:
+def mask(text: bytes, automata: dict[str, Format], mark: bytes, known: dict[bytes, bool]) -> bytes:
     """The text with every find, by rule or by format, replaced by ``mark``; finds that overlap count as one."""
     found = base_spans(text)
     found = in_order(found + by_format(text, found, automata, known))

@@ -54,6 +54,91 @@ def test_formats_are_learned_and_words_are_left_alone(spark):
     assert got[1000] == f"format:{at}:{at + len(hidden)}" and got[1001] == ""
 
 
+def test_arcs_count_what_passes_through_them():
+    """Every count of a merged automaton is the number of examples' steps that use it, and no frequency exceeds one."""
+    rng = random.Random(1)
+    for trial in range(30):
+        alphabet = rng.choice(["01", "0123456789abcdef", "abcXYZ09", "a-Z."])
+        examples = [rng.choice(["", "AK", "x-"]) + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 9))) for _ in range(rng.choice((3, 40, 400)))]
+        a = automata.infer(examples, alpha=rng.choice((0.01, 0.5)))
+        used, ends = [dict.fromkeys(arcs, 0) for arcs in a.arcs], [0] * len(a.arcs)
+        for text in examples:
+            state = 0
+            for c in automata.symbols(text):
+                used[state][c] += 1
+                state = a.arcs[state][c][0]
+            ends[state] += 1
+        assert ends == a.stops and used == [{c: n for c, (_, n) in arcs.items()} for arcs in a.arcs]
+        assert all(n <= total for arcs, total in zip(a.arcs, a.totals, strict=True) for _, n in arcs.values())
+
+
+def test_states_merge_only_where_frequencies_agree():
+    """Hoeffding's test by itself: two tails with other frequencies keep their states, two with the same share them."""
+    same = automata.infer(["0" + t for t in ["a", "b"] * 200] + ["g" + t for t in ["a", "b"] * 200])
+    other = automata.infer(["0" + "a"] * 390 + ["0b"] * 10 + ["ga"] * 10 + ["gb"] * 390)
+    assert same.arcs[0]["0"][0] == same.arcs[0]["g"][0] and other.arcs[0]["0"][0] != other.arcs[0]["g"][0]
+
+
+def test_samples_are_the_least_hashed_of_all_documents(spark, documents):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    values = {k: set() for k in ("assign", "access", "hex", "word")}
+    for r in rows.collect():
+        text = (r["text"] or "").encode()
+        spans = S.base_spans(text)
+        for k, a, b in spans:
+            values[k].add(S.labelled_value(k, text[a:b]))
+        rest = bytearray(text)
+        for _, a, b in spans:
+            rest[a:b] = b" " * (b - a)
+        values["word"] |= {w.decode() for w in re.findall(rb"[A-Za-z0-9_-]+", bytes(rest)) if S.WORD.fullmatch(w)}
+    got = S.examples(rows, 50)
+    for kind, own in values.items():
+        assert got.get(kind, []) == sorted((v for v in own if len(v) <= S.LONGEST_EXAMPLE), key=lambda v: S.xxh64_intdigest(v.encode()))[:50]
+
+
+def test_spans_equal_brute_force(documents, odd):
+    """Every run that no rule touches is scored, by itself."""
+    for docs in (documents, odd):
+        known = S.formats(S.examples(docs))
+        want = []
+        for r in docs.collect():
+            text = (r["text"] or "").encode()
+            base = S.base_spans(text)
+            runs = [m.span() for m in S.CANDIDATE.finditer(text)]
+            more = [("format", a, b) for a, b in runs if not any(a < y and x < b for _, x, y in base) and S.is_credential(text[a:b].decode(), known)]
+            want.append((str(r["doc_id"]), S.shown(S.in_code_points(text, S.in_order(base + more)))))
+        assert sorted((str(r["doc_id"]), r["spans"]) for r in S.scan(docs).collect()) == sorted(want)
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+FORMATS = {
+    "hexadecimal": lambda some: some("0123456789abcdef", 32),
+    "prefixed": lambda some: "ghp_" + some(LETTERS + LETTERS.upper() + "0123456789", 36),
+    "without digits": lambda some: "sk-live-" + some(LETTERS + LETTERS.upper(), 24),
+}
+ORDINARY = "call 555-1234 2024-01-05T10:20:30 bob.smith@host.example www.example.com/path/to/page?id=77 v1.2.3 covid-19 iPhone15 ISBN9783161484100 COMPUTERS Mississippi README.md user_name camelCaseWord"
+
+
+def test_recall_and_precision_on_planted_formats(spark):
+    """Of 300 unlabelled keys of three formats nine tenths are found at least, and nothing else is."""
+    rng = random.Random(4)
+    make = lambda i: list(FORMATS.values())[i % 3](lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n)))
+    prose = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(900).collect()]
+    rows = [(i, f"{t} token = {make(i)} {ORDINARY}") for i, t in enumerate(prose[:300])] + [(i + 1000, t) for i, t in enumerate(prose[300:600])]
+    hidden = [(i + 2000, f"{t}\nsee {make(i)} there") for i, t in enumerate(prose[600:900])]
+    texts = dict(rows + hidden)
+    found = [(k, texts[r["doc_id"]][int(a) : int(b)]) for r in S.scan(spark.createDataFrame(rows + hidden, "doc_id long, text string")).collect() for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
+    keys = {t.split()[-2] for _, t in hidden}
+    assert len(keys & {v for _, v in found}) >= 0.9 * len(keys) and {v for k, v in found if k == "format"} <= keys
+
+
+def test_very_long_values_are_found_but_not_learned_from(spark):
+    long = "a1" * 200_000
+    docs = spark.createDataFrame([(1, f"token = {long} and words"), (2, "token = 0f" + "3e" * 20)], "doc_id long, text string")
+    assert all(len(v) <= S.LONGEST_EXAMPLE for own in S.examples(docs).values() for v in own)
+    assert {r["doc_id"]: r["n_assign"] for r in S.scan(docs).collect()} == {1: 1, 2: 1}
+
+
 def test_automata_are_probabilities_and_merge():
     rng = random.Random(0)
     examples = ["AK" + "".join(rng.choice("01") for _ in range(rng.choice((4, 5)))) for _ in range(400)]
