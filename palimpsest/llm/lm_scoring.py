@@ -1,13 +1,15 @@
 """Language-model scores: the whole text's log-probability under a gated recurrent network.
 
-The output is factored by classes: the network gives the class of the next token, and within
-its class a token has its share of the corpus's counts, one of them set apart for tokens that
-training never saw. Classes are the commonest words, common word endings, and the rest by hash.
-
-Counts come from every training document. So does the network: each partition runs truncated
-backpropagation over its documents from the same start, and the partitions' networks are
-averaged by their tokens. Counts of the commonest words go to the tasks; the others, of which
-there is no bound, meet the documents' rarer tokens in a join.
+The output is factored by classes, with a softmax on the state for each factor (``gru``): the class of the next
+token by its ending, then its slot in the class. The commonest words of a class have a slot of their own; the rest share some
+slots by their beginning, and have there their share of the corpus's counts, one of them set apart for tokens that
+training never saw. The same slots are the network's inputs.
+
+Counts come from every training document, and so does the network. Documents are dealt by the hash of their text to
+shards of a set number of tokens, whatever the files they come in. In each of a few rounds every shard runs truncated
+backpropagation over its share of that round's documents from the same start, and the shards' networks are averaged by their
+tokens. Counts of the commonest words go to the tasks; the others, of which there is no bound, meet the documents' rarer
+tokens in a join.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 from uuid import uuid4
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,19 +30,25 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import bucket_of, checkpoint, lowered_words, table, texts
 from palimpsest.llm.gru import Network, Trainer, log10_likelihoods
 
-#: Words whose counts are sent to every task.
-COMMON_WORDS = 400_000
-#: Class 0 is the end; then words and endings of their own, and hashed classes for the rest.
-WORD_CLASSES = 32
-ENDING_CLASSES = 56
-HASHED_CLASSES = 7
-CLASSES = 1 + WORD_CLASSES + ENDING_CLASSES + HASHED_CLASSES
-ENDING_BYTES = 2
-#: Averaging rounds over the training documents, and each one's learning rate.
-RATES = (0.02,)
-LANES = 128
-#: Documents are laid side by side in groups of so many tokens at most.
+#: Words whose counts are sent to every task, and the longest of them; others meet their counts in the join.
+COMMON_WORDS, LONGEST_COMMON = 400_000, 64
+#: Class 0 is the end; then endings of their own, and hashed classes for the rest.
+ENDING_CLASSES, HASHED_CLASSES = 56, 7
+CLASSES = 1 + ENDING_CLASSES + HASHED_CLASSES
+#: Slots of a class: for words of their own, and for the rest by the first bytes.
+OWN_SLOTS, SHARED_SLOTS = 32, 16
+SLOTS = OWN_SLOTS + SHARED_SLOTS
+TOKENS = CLASSES * SLOTS
+ENDING_BYTES, BEGINNING_BYTES = 2, 2
+#: Averaging rounds, each over its part of the training documents, and their learning rates.
+RATES = (0.03, 0.02, 0.01)
+LANES = 256
+#: Training tokens of a shard; where that would make more than so many shards, they are longer.
+SHARD_TOKENS, MOST_SHARDS = 2_000_000, 10_000
+#: A shard learns from, and a task scores, documents in groups of so many tokens at most.
 GROUP_TOKENS = 4_000_000
+#: Numbers of a network that are added up as one row, and the parts in which the shards' rows are added first.
+CHUNK, SALTS = 8192, 64
 _FLUSH = 500_000
 
 
@@ -71,6 +80,7 @@ def corpus_counts(training: DataFrame) -> DataFrame:
 
 def common_words(counts: DataFrame, most: int = COMMON_WORDS) -> list[tuple[bytes, int]]:
     """At most ``most`` words and their counts, the commonest first: all above a count that a histogram tells."""
+    counts = counts.where(F.octet_length("word") <= LONGEST_COMMON)
     step = F.floor(16 * F.log2("c")).cast("int")
     histogram, above, least = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect(), 0, 1 << 20
     for r in histogram:
@@ -84,81 +94,147 @@ def common_words(counts: DataFrame, most: int = COMMON_WORDS) -> list[tuple[byte
 
 
 @dataclass(frozen=True)
-class Classes:
-    """Which class a word is of: by the word, by its last bytes, or by their hash."""
+class Places:
+    """Where a word is predicted: class x SLOTS + slot, by the word, or by its last bytes and its first."""
 
     words: dict[bytes, int]
     endings: dict[bytes, int]
 
+    def class_of(self, word: bytes) -> int:
+        ending = word[-ENDING_BYTES:]
+        return k if (k := self.endings.get(ending)) is not None else 1 + ENDING_CLASSES + sum(ending) % HASHED_CLASSES
+
     def of(self, word: bytes) -> int:
         if (k := self.words.get(word)) is not None:
             return k
-        ending = word[-ENDING_BYTES:]
-        return k if (k := self.endings.get(ending)) is not None else 1 + WORD_CLASSES + ENDING_CLASSES + sum(ending) % HASHED_CLASSES
+        return self.class_of(word) * SLOTS + OWN_SLOTS + int.from_bytes(word[:BEGINNING_BYTES], "big") % 251 % SHARED_SLOTS
 
 
-def choose_classes(common: list[tuple[bytes, int]]) -> Classes:
+def choose_places(common: list[tuple[bytes, int]]) -> Places:
     """``common``: (word, count), the commonest first."""
-    words = {w: 1 + i for i, (w, _) in enumerate(common[:WORD_CLASSES])}
     mass: Counter = Counter()
-    for w, c in common[WORD_CLASSES:]:
+    for w, c in common:
         mass[w[-ENDING_BYTES:]] += c
     endings = sorted(mass, key=lambda e: (-mass[e], e))[:ENDING_CLASSES]
-    return Classes(words, {e: 1 + WORD_CLASSES + i for i, e in enumerate(endings)})
+    places = Places({}, {e: 1 + i for i, e in enumerate(endings)})
+    taken: Counter = Counter()
+    for w, _ in common:
+        k = places.class_of(w)
+        if taken[k] < OWN_SLOTS:
+            places.words[w] = k * SLOTS + taken[k]
+            taken[k] += 1
+    return places
 
 
 class Vocabulary(dict):
-    """Raw word -> class, plus CLASSES x (1 + rank) for common words; a worker process builds it once."""
+    """Raw word -> place, plus TOKENS x (1 + rank) for common words; a worker process builds it once."""
 
     _built: dict[int, Vocabulary] = {}
 
-    def __init__(self, classes: Classes, common: bytes):
+    def __init__(self, places: Places, common: bytes):
         super().__init__()
-        self.classes = classes
+        self.places = places
         for i, w in enumerate(common.split(b"\n") if common else []):
-            self[w] = CLASSES * (1 + i) + classes.of(w)
+            self[w] = TOKENS * (1 + i) + places.of(w)
         self.fixed = len(self)
 
     def __missing__(self, word: bytes) -> int:
-        found = self.classes.of(word)
-        if len(self) < self.fixed + COMMON_WORDS // 2:
+        found = self.places.of(word)
+        if len(word) <= LONGEST_COMMON and len(self) < self.fixed + COMMON_WORDS // 2:
             self[word] = found
         return found
 
     @classmethod
     def of(cls, shared: Broadcast) -> Vocabulary:
-        name, classes, common, _ = shared.value
+        name, places, common, *_ = shared.value
         if name not in cls._built:
             cls._built.clear()
-            cls._built[name] = cls(classes, common)
+            cls._built[name] = cls(places, common)
         return cls._built[name]
 
 
-def coded(texts_: list[bytes], vocabulary: Vocabulary) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Each text's words, and their codes with the end's (0) after them."""
-    look = vocabulary.__getitem__
-    for t in texts_:
-        tokens = lowered_words(t)
-        yield tokens, np.fromiter((*map(look, tokens), 0), np.int32, len(tokens) + 1)
-
+def coded(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """(doc_id, hash, n_tokens, n_known, base, shares, rare, places): what one reading of each text gives.
 
-def averaged_round(training: DataFrame, network: Network, shared: Broadcast, rate: float) -> Network:
-    """One round: every partition learns from its documents; their networks are averaged by tokens."""
-    start = network.vector()
+    base and shares are sums over the common words; ``rare`` are left for the join. places: two bytes a token, the end's (0) last.
+    """
+    rare_kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(Network(network.classes, network.hidden).load(start), rate, LANES)
         vocabulary = Vocabulary.of(shared)
+        _, _, _, log_counts, log_totals, base_total, ends = shared.value
+        look = vocabulary.__getitem__
         for b in batches:
-            trainer.learn([codes % CLASSES for _, codes in coded(texts(b), vocabulary)])
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                rows = []
+                for text in texts(part):
+                    words = lowered_words(text)
+                    codes = np.fromiter((*map(look, words), 0), np.int64, len(words) + 1)
+                    rank, place = np.divmod(codes, TOKENS)
+                    known = rank > 0
+                    known[-1] = True  # the end
+                    logs = float(log_counts[rank[known]].sum())
+                    unknown = Counter([words[k] for k in np.flatnonzero(~known)])
+                    rows.append((len(codes), int(known.sum()) - (ends == 0), logs - len(codes) * base_total, logs - float(log_totals[place].sum()), [{"word": w.decode(), "n": n} for w, n in unknown.items()], place.astype(np.uint16).tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_kind, pa.binary())
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), *columns], ["doc_id", "hash", "n_tokens", "n_known", "base", "shares", "rare", "places"])
+
+    schema = "doc_id long, hash long, n_tokens long, n_known long, base double, shares double, rare array<struct<word string, n long>>, places binary"
+    return docs.select("doc_id", F.xxhash64("text", "doc_id").alias("hash"), "text").mapInArrow(run, schema)
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Rows' numbers and places in groups of GROUP_TOKENS at most (or one document)."""
+    rows, group, size = [], [], 0
+    for b in batches:
+        for row, places in zip(b.column("row").to_pylist(), b.column("places").to_pylist(), strict=True):
+            if group and size + len(places) // 2 > GROUP_TOKENS:
+                yield rows, group
+                rows, group, size = [], [], 0
+            rows.append(row)
+            group.append(np.frombuffer(places, np.uint16))
+            size += len(places) // 2
+    if group:
+        yield rows, group
+
+
+def averaged_round(training: DataFrame, network: Network, rate: float, shards: int) -> Network:
+    """One round: every shard learns from its documents (row, hash, places); their networks are averaged by tokens."""
+    start = training.sparkSession.sparkContext.broadcast((network.classes, network.slots, network.hidden, network.vector))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, slots, hidden, vector = start.value
+        trainer = Trainer(Network(classes, slots, hidden).load(vector), rate, LANES)
+        for _, group in _documents(batches):
+            trainer.learn(group)
         if trainer.tokens:
-            weighted = trainer.network.vector().astype(np.float64) * trainer.tokens
-            yield pa.RecordBatch.from_pydict({"weighted": pa.array([[*weighted, trainer.tokens]], pa.list_(pa.float64()))})
+            weighted = np.append(trainer.network.vector.astype(np.float64) * trainer.tokens, trainer.tokens)
+            chunks = [weighted[i : i + CHUNK].tobytes() for i in range(0, len(weighted), CHUNK)]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(chunks)), pa.int32()), "sums": pa.array(chunks, pa.binary())})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.float64) for x in group["sums"])
+        return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "sums": [total.tobytes()]})
 
-    # Added up by place in the vector: no task holds many vectors, and as many sums as a network has numbers come back.
-    places = training.select("text").mapInArrow(run, "weighted array<double>").select(F.posexplode("weighted").alias("place", "x"))
-    sums = np.array([r["x"] for r in places.groupBy("place").agg(F.sum("x").alias("x")).orderBy("place").collect()])
-    return network.load(sums[:-1] / sums[-1]) if len(sums) else network
+    dealt = training.repartition(shards, "hash").sortWithinPartitions("hash", "row").select("row", "places")
+    rows = dealt.mapInArrow(run, "chunk int, sums binary").withColumn("salt", F.spark_partition_id() % SALTS)
+    # No task adds many networks: first in SALTS parts, then the parts.
+    sums = rows.groupBy("chunk", "salt").applyInPandas(add, "chunk int, sums binary").groupBy("chunk").applyInPandas(add, "chunk int, sums binary").collect()
+    if not sums:
+        return network
+    total = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(sums, key=lambda r: r["chunk"])])
+    return network.load((total[:-1] / total[-1]).astype(np.float32))
+
+
+def trained(rows: DataFrame, tokens: int, log_shares: np.ndarray) -> Network:
+    """The network after all rounds over ``rows`` (row, hash, places). Which round and shard a document is in follows from its hash."""
+    network, rounds = Network(CLASSES, SLOTS, log_shares=log_shares), len(RATES)
+    shards = max(1, min(MOST_SHARDS, round(tokens / SHARD_TOKENS)))
+    for k, rate in enumerate(RATES):
+        network = averaged_round(rows.where(F.pmod(F.shiftright("hash", 32), F.lit(rounds)) == k), network, rate, shards)
+    return network
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -176,67 +252,47 @@ def score(docs: DataFrame) -> DataFrame:
     counts = checkpoint(corpus_counts(training))
     ends = training.count()
     common = common_words(counts)
-    classes = choose_classes(common)
+    places = choose_places(common)
 
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"k": pa.array([classes.of(w) for w in b.column("word").cast(pa.binary()).to_pylist()], pa.int32()), "c": b.column("c")})
+            yield pa.RecordBatch.from_pydict({"k": pa.array([places.of(w) for w in b.column("word").cast(pa.binary()).to_pylist()], pa.int32()), "c": b.column("c")})
 
-    masses = {r["k"]: (r["c"], r["v"]) for r in counts.mapInArrow(classify, "k int, c long").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
-    masses[0] = (ends, 1 if ends else 0)
-    mass = np.array([masses.get(k, (0, 0)) for k in range(CLASSES)], np.float64)
+    masses = {r["k"]: (r["c"], r["v"]) for r in counts.mapInArrow(place, "k int, c long").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
+    mass, log_totals = shares(masses, ends, set(places.words.values()))
     tokens, distinct = int(mass[:, 0].sum()), int(mass[:, 1].sum())
     base_total = math.log10(tokens + 0.5 * (distinct + 1))
-    class_total = np.log10(mass[:, 0] + 0.5 * (mass[:, 1] + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((uuid4().hex, classes, b"\n".join(w for w, _ in common), np.log10(np.array([ends, *(c for _, c in common)], np.float64) + 0.5)))
-    network = Network(CLASSES, log_prior=np.log((mass[:, 0] + 0.5) / (mass[:, 0] + 0.5).sum()))
-    for rate in RATES:
-        network = averaged_round(training, network, shared, rate)
-    trained, hidden = network.vector(), network.hidden
+    log_counts = np.log10(np.array([ends, *(c for _, c in common)], np.float64) + 0.5)
+    shared = docs.sparkSession.sparkContext.broadcast((uuid4().hex, places, b"\n".join(w for w, _ in common), log_counts, log_totals, base_total, ends))
+    partial = checkpoint(coded(docs, shared).withColumn("row", F.monotonically_increasing_id()))
+    network = trained(partial.where(is_training()).select("row", "hash", "places"), tokens, np.log((mass[:, 0] + 0.5) / (mass[:, 0] + 0.5).sum()).reshape(CLASSES, SLOTS))
+    final = docs.sparkSession.sparkContext.broadcast(network.vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, vocabulary, log_counts = Network(CLASSES, hidden).load(trained), Vocabulary.of(shared), shared.value[3]
-        for b in batches:
-            ids, raw, at = b.column("doc_id").to_pylist(), texts(b), 0
-            while at < len(raw):
-                upto, size = at, 0
-                while upto < len(raw) and (size == 0 or size + len(raw[upto]) < 4 * GROUP_TOKENS):
-                    size += len(raw[upto])
-                    upto += 1
-                yield _scored(ids[at:upto], raw[at:upto], net, vocabulary, log_counts, class_total, base_total, ends)
-                at = upto
-
-    fields = "doc_id long, row long, n_tokens long, n_known long, base double, model double, rare array<struct<word string, n long>>"
-    partial = checkpoint(docs.mapInArrow(run, fields.replace("row long, ", "")).withColumn("row", F.monotonically_increasing_id()))
+        net = Network(CLASSES, SLOTS).load(final.value)
+        for rows, group in _documents(batches):
+            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "path": pa.array(log10_likelihoods(net, group), pa.float64())})
+
+    paths = checkpoint(partial.select("row", "places").mapInArrow(run, "row long, path double"))
     rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     found = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     added = found.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
     logs = F.coalesce("logs", F.lit(0.0))
-    return partial.drop("rare").join(added, "row", "left").select(
+    return partial.drop("rare", "places").join(paths, "row").join(added, "row", "left").select(
         "doc_id", (~is_training()).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"))
-
-
-def _scored(ids: list, raw: list[bytes], net: Network, vocabulary: Vocabulary, log_counts: np.ndarray, class_total: np.ndarray, base_total: float, ends: int) -> pa.RecordBatch:
-    """What one group of documents contributes; rare words are left for the join."""
-    classes, base, model, n_known, rare, lengths = [], [], [], [], [], []
-    for tokens, codes in coded(raw, vocabulary):
-        own, rank = codes % CLASSES, codes // CLASSES
-        known = rank > 0
-        known[-1] = True  # the end
-        logs = float(log_counts[rank[known]].sum())
-        unknown = Counter([tokens[i] for i in np.flatnonzero(~known)])
-        classes.append(own)
-        lengths.append(len(codes))
-        base.append(logs - len(codes) * base_total)
-        model.append(logs - float(class_total[own].sum()))
-        n_known.append(int(known.sum()) - (ends == 0))
-        rare.append([{"word": w.decode(), "n": n} for w, n in unknown.items()])
-    paths = log10_likelihoods(net, classes)
-    kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
-    return pa.RecordBatch.from_pydict({
-        "doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-        "base": pa.array(base, pa.float64()), "model": pa.array(np.array(model) + paths, pa.float64()), "rare": pa.array(rare, kind)})
+        (F.col("base") + logs).alias("base_score"), (F.col("shares") + F.col("path") + logs).alias("score"))
+
+
+def shares(masses: dict[int, tuple[int, int]], ends: int, own: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(each place's tokens and distinct words, log10 of what a word's count plus a half is divided by to give its share of the place).
+
+    A slot of its own is one word's whole, with the end for class 0; in the others one more word stands for the unseen.
+    """
+    masses = {**masses, 0: (ends, 1 if ends else 0)}
+    mass = np.array([masses.get(k, (0, 0)) for k in range(TOKENS)], np.float64)
+    alone = np.zeros(TOKENS)
+    alone[list(own | {0})] = 1
+    return mass, np.log10(mass[:, 0] + 0.5 * (mass[:, 1] + 1 - alone) + (mass[:, 1] == 0) * alone * 0.5)
 
 
 def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

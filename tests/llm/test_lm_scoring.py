@@ -36,55 +36,136 @@ def test_rare_words_come_through_the_join(spark, documents, monkeypatch):
     assert got == plain_base([(r["doc_id"], r["text"]) for r in documents.collect()])
 
 
-def test_the_network_beats_the_base_on_held_out_rows(spark):
+def test_the_network_beats_the_base_by_a_tenth_on_held_out_rows(spark):
     rows = M.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
-    assert sum(r["score"] for r in rows) > 0.97 * sum(r["base_score"] for r in rows)
+    assert sum(r["score"] for r in rows) > 0.9 * sum(r["base_score"] for r in rows)
+
+
+def network(classes, slots, hidden, kind=np.float32):
+    rng = np.random.default_rng(3)
+    net = gru.Network(classes, slots, hidden)
+    wider = gru.Network.__new__(gru.Network)
+    wider.classes, wider.slots, wider.hidden, wider.sizes = classes, slots, hidden, net.sizes
+    wider.vector = rng.normal(0, 0.5, len(net.vector)).astype(kind)
+    at = 0
+    for name, size in zip(net.NAMES, net.sizes, strict=True):
+        setattr(wider, name, wider.vector[at : at + size].reshape(getattr(net, name).shape))
+        at += size
+    return wider
+
+
+def plain_log(net, document):
+    """The log-probability of each token, step by step as the formulas say."""
+    h, out = np.zeros(net.hidden), []
+    H, squash = net.hidden, lambda x: 1 / (1 + np.exp(-x))
+    for t in document:
+        k, s = divmod(int(t), net.slots)
+        of_class, of_slot = h @ net.to_class + net.class_bias, h @ net.to_slot[k] + net.slot_bias[k]
+        out.append(of_class[k] - np.log(np.exp(of_class).sum()) + of_slot[s] - np.log(np.exp(of_slot).sum()))
+        x, u = net.inputs[t] + net.gate_bias, h @ net.state
+        z, r = squash(x[:H] + u[:H]), squash(x[H : 2 * H] + u[H : 2 * H])
+        c = np.tanh(x[2 * H :] + r * u[2 * H :])
+        h = z * h + (1 - z) * c
+    return np.array(out)
 
 
 def test_gradients():
     rng = np.random.default_rng(0)
-    net = gru.Network(7, 5)
-    net.output = rng.normal(0, 0.5, net.output.shape)
-    for k in net.NAMES:
-        setattr(net, k, getattr(net, k).astype(np.float64))
-    docs = [rng.integers(0, 7, n) for n in (9, 6, 3)]
-    tokens, first, active = next(gru.Lanes([[docs[0]], [docs[1], docs[2]]]).windows(32))
-
-    def loss(v):
-        other, at = gru.Network(7, 5), 0
-        for k in net.NAMES:
-            size = getattr(net, k).size
-            setattr(other, k, v[at : at + size].reshape(getattr(net, k).shape))
-            at += size
-        before, _ = other.forward(tokens, active, np.zeros((2, 5)), first)
-        live = np.arange(2)[None] < np.array(active)[:, None]
-        return -other.log_probabilities(before[live], tokens[live])[0].mean()
-
-    v = net.vector()
-    numeric = np.array([(loss(v + 1e-3 * e) - loss(v - 1e-3 * e)) / 2e-3 for e in np.eye(len(v))])
-    assert abs(gru.Trainer(net).gradients(tokens, first, active, np.zeros((2, 5), np.float32)) - numeric).max() < 1e-5
-
-
-def test_windows_do_not_change_a_documents_likelihood():
+    net = network(3, 4, 5, np.float64)
+    docs = [rng.integers(0, 12, n) for n in (9, 6, 3, 1)]
+    group = gru.Lanes(docs, 2)
+    tokens, first, active = next(group.windows(32))
+    streams = [group.flat[a : a + n] for a, n in zip(group.starts, group.lengths, strict=True)]
+    begins = [group.first[a : a + n] for a, n in zip(group.starts, group.lengths, strict=True)]
+
+    def loss():
+        parts = [plain_log(net, p) for t, f in zip(streams, begins, strict=True) for p in np.split(t, np.flatnonzero(f[1:]) + 1)]
+        return -np.concatenate(parts).mean()
+
+    numeric = np.zeros(len(net.vector))
+    for k in range(len(numeric)):
+        for sign in (1, -1):
+            net.vector[k] += sign * 1e-5
+            numeric[k] += sign * loss() / 2e-5
+            net.vector[k] -= sign * 1e-5
+    got = gru.Trainer(net).gradients(tokens, first, active, np.zeros((2, 5)))
+    assert abs(got - numeric).max() < 1e-7 and abs(numeric).max() > 0.01
+
+
+def test_windows_do_not_change_a_documents_likelihood(monkeypatch):
     rng = np.random.default_rng(1)
-    net = gru.Network(9, 6)
-    net.output = rng.normal(0, 1, net.output.shape).astype(np.float32)
-    docs = [rng.integers(0, 9, n) for n in (100, 33, 64, 1, 5)]
-    together = gru.log10_likelihoods(net, docs, lanes=2)
-    for d, got in zip(docs, together, strict=True):
-        h, total = np.zeros((1, 6), np.float32), 0.0
-        for token in d:
-            logits = (h @ net.output + net.output_bias).ravel()
-            total += logits[token] - np.log(np.exp(logits).sum())
-            net.forward(np.array([[token]]), [1], h)
-        assert abs(total / np.log(10) - got) < 1e-3
-
-
-def test_classes_sum_to_one():
-    """Within a class, the shares of known words and of the unseen one sum to one."""
-    common = [(b"the", 50), (b"nation", 9), (b"station", 3), (b"xyz", 1)]
-    classes = M.choose_classes(common)
-    assert len({classes.of(w) for w, _ in common}) > 1 and all(0 < classes.of(w) < M.CLASSES for w in (b"the", b"new", b"a", "é".encode()))
+    net = network(4, 3, 6)
+    docs = [rng.integers(0, 12, n) for n in (100, 33, 64, 1, 5)]
+    for at_once in (1, 40, 1 << 15):
+        monkeypatch.setattr(gru, "PREDICTED_AT_ONCE", at_once)
+        for d, got in zip(docs, gru.log10_likelihoods(net, docs, lanes=2), strict=True):
+            assert abs(plain_log(net, d).sum() / np.log(10) - got) < 1e-3
+
+
+def test_scores_equal_a_plain_pass_over_whole_documents(spark, odd, documents, monkeypatch):
+    """Place by place and step by step, with the network that was trained."""
+    kept = []
+    trained = M.trained
+    monkeypatch.setattr(M, "trained", lambda *a: kept.append(trained(*a)) or kept[-1])
+    for docs in (documents.limit(60), odd):
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        counts, ends = Counter(), 0
+        for i, t in rows:
+            if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+                counts.update((t or "").encode().lower().split())
+                ends += 1
+        places = M.choose_places(sorted(counts.items(), key=lambda x: (-x[1], x[0])))
+        totals = Counter()
+        for w, c in counts.items():
+            totals[places.of(w)] += c + 0.5
+        got = sorted(((str(r["doc_id"]), r["score"]) for r in M.score(docs).collect()))
+        want = []
+        for i, t in rows:
+            words = (t or "").encode().lower().split()
+            own = [math.log10((counts[w] + 0.5) / (totals[places.of(w)] + 0.5)) for w in words if w not in places.words]
+            want.append((str(i), plain_log(kept[-1], [*map(places.of, words), 0]).sum() / math.log(10) + sum(own)))
+        for (i, a), (j, b) in zip(got, sorted(want), strict=True):
+            assert i == j and abs(a - b) <= 1e-4 * max(1, abs(b))
+
+
+def test_all_words_and_the_unseen_sum_to_one():
+    """Class, slot and share, summed over every word of the vocabulary, one unseen word a shared slot, and the end."""
+    rng = np.random.default_rng(5)
+    common = sorted({bytes(rng.integers(97, 123, rng.integers(1, 7)).astype(np.uint8)): int(c) for c in rng.integers(1, 90, 4000)}.items(), key=lambda x: (-x[1], x[0]))
+    places, masses = M.choose_places(common), {}
+    for w, c in common:
+        k = places.of(w)
+        masses[k] = (masses.get(k, (0, 0))[0] + c, masses.get(k, (0, 0))[1] + 1)
+    mass, log_totals = M.shares(masses, 100, set(places.words.values()))
+    net = network(M.CLASSES, M.SLOTS, 4)
+    h = rng.normal(0, 1, (1, 4)).astype(np.float32)
+    at = np.exp(net.log_probabilities(np.repeat(h, M.TOKENS, 0), np.arange(M.TOKENS)).astype(np.float64))
+    assert abs(at.sum() - 1) < 1e-4
+    share = {k: 0.0 for k in range(M.TOKENS)}
+    for w, c in common:
+        share[places.of(w)] += (c + 0.5) / 10 ** log_totals[places.of(w)]
+    share[0] = (100 + 0.5) / 10 ** log_totals[0]
+    for k in range(M.TOKENS):
+        if k % M.SLOTS >= M.OWN_SLOTS:
+            share[k] += 0.5 / 10 ** log_totals[k]
+    used = [k for k in share if share[k]]
+    assert all(abs(share[k] - 1) < 1e-9 for k in used) and len(used) > 500
+    assert all(k // M.SLOTS > 0 for k in map(places.of, (b"the", b"new", b"a", "é".encode(), b"x" * 10000)))
+
+
+def test_the_network_is_the_same_whatever_the_files(spark, documents):
+    one = {r["doc_id"]: r["score"] for r in M.score(documents.coalesce(1)).collect()}
+    many = {r["doc_id"]: r["score"] for r in M.score(documents.repartition(13)).collect()}
+    assert all(abs(one[i] - many[i]) <= 1e-3 * max(1, abs(one[i])) for i in one)
+
+
+def test_very_long_words(spark):
+    docs = spark.createDataFrame([(i, "z" * 300_000 + " and a word") for i in range(8)], "doc_id long, text string")
+    rows = M.score(docs).collect()
+    assert all(r["n_tokens"] == r["n_known"] == 5 for r in rows)
+    counts = M.corpus_counts(docs)
+    assert all(len(w) <= M.LONGEST_COMMON for w, _ in M.common_words(counts))
 
 
 def test_no_rows(nothing):
