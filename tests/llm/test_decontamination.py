@@ -46,22 +46,35 @@ def test_edited_items_are_found_as_brute_force_says():
     assert tried > 40
 
 
-def test_index_finds_all_within_the_radius():
-    rng = np.random.default_rng(0)
-    prints, queries = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.integers(0, 2**63, 300, dtype=np.uint64)
-    for radius in (3, 20, 25):
-        near = np.bitwise_count(queries[:, None] ^ prints[None, :]) <= radius
-        q, p = C.HammingIndex(prints, radius).within(queries)
-        assert set(zip(q.tolist(), p.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+def test_indexed_shingles_are_few_and_miss_no_similar_window(spark):
+    """Every window at the least similarity holds an indexed shingle; a window meets far fewer items than there are."""
+    random.seed(3)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(random.choice(words) for _ in range(40))) for i in range(3000)]
+    block = C.Benchmark(items)
+    held = 0
+    for i, text in random.sample(items, 100):
+        own = C.tokens(text.encode())
+        own[random.randrange(len(own))] = b"other"
+        if C.similarity(C.shingles(C.tokens(text.encode())), C.shingles(own)) >= 0.8:
+            found = block.starts(b" ".join([b"a"] * 20 + own + [b"b"] * 20))
+            held += 1
+            assert i in found and 20 in found[i].tolist() and len(found) < 20
+    assert held > 15
+    prose = [block.starts(" ".join(random.choice(words) for _ in range(400)).encode()) for _ in range(20)]
+    assert sum(map(len, prose)) / 20 < 30
 
 
-def test_blocks_give_the_same(spark, documents, sf_dir, monkeypatch):
+def test_a_great_benchmark_is_joined_and_gives_the_same(spark, documents, sf_dir, odd, monkeypatch):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    one = sorted(map(tuple, C.contaminated(documents, benchmark).collect()))
-    blocks = C.benchmark_blocks(benchmark, 2000)
-    assert len(blocks) > 2
-    monkeypatch.setattr(C, "benchmark_blocks", lambda b: blocks)
-    assert sorted(map(tuple, C.contaminated(documents, benchmark).collect())) == one
+    tiny = spark.createDataFrame([(1, None), (2, ""), (3, "Two three, FOUR five six seven eight nine ten!"), (3, "Two three, FOUR five six seven eight nine ten!"), (4, "no id at"), (None, "a")], "item_id long, text string")
+    for docs, items in ((documents, benchmark), (odd, tiny)):
+        monkeypatch.setattr(C, "BLOCK_BYTES", 16 << 20)
+        one = sorted(map(tuple, C.contaminated(docs, items).collect()), key=str)
+        kept = sorted(str(r["doc_id"]) for r in C.drop_contaminated(docs, items).collect())
+        monkeypatch.setattr(C, "BLOCK_BYTES", 0)
+        assert sorted(map(tuple, C.contaminated(docs, items).collect()), key=str) == one and one
+        assert sorted(str(r["doc_id"]) for r in C.drop_contaminated(docs, items).collect()) == kept
 
 
 def test_odd_rows(spark, odd, nothing):
