@@ -1,10 +1,11 @@
 """A packing plan for a histogram of lengths: patterns and how often each is filled.
 
 The plan is made on the driver from at most ``capacity`` counts, whatever the number
-of documents. First, patterns of a few documents are enumerated over coarse lengths, and a
+of documents. Patterns of a few documents are enumerated over coarse lengths, and a
 non-negative least-squares fit says how often to repeat each so that together they use
-up the histogram. The rounded counts are filled with exact lengths, the last place of a
-pattern by the longest length that still fits. What remains is packed best-fit decreasing.
+up the histogram. The rounded counts are filled with exact lengths: a part by any length of its coarse
+length, the last one by what just fills the room, or else by the longest that fits. What is left of the histogram
+is fitted again, a few times. The residuals, and the room that fills left, are packed best-fit decreasing.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ Pattern = tuple[tuple[int, ...], int]
 #: Coarse lengths, and the most documents in a fitted pattern.
 UNITS = 32
 MOST_PARTS = 4
-#: The most room that a fitted pattern may leave.
-MOST_SLACK = 0
+#: The most room that a fitted pattern may leave for residuals.
+MOST_SLACK = 16
+#: How often the rest of the histogram is fitted again.
+FITS = 8
+#: A plan with most from patterns is taken unless one of exact fills needs fewer sequences by more than this share.
+TOLERANCE = 0.002
 
 
 def patterns(units: int = UNITS, parts: int = MOST_PARTS) -> list[tuple[int, ...]]:
@@ -81,7 +86,49 @@ class _Stock:
             self.lengths.pop(bisect_left(self.lengths, length))
 
 
-def fitted(stock: _Stock, capacity: int, units: int) -> list[Pattern]:
+def filled(stock: _Stock, pattern: tuple[int, ...], capacity: int, width: float, most_slack: int = MOST_SLACK) -> tuple[int, ...] | None:
+    """Lengths in stock for the parts of a pattern, with the least room left; None where it would be more than ``most_slack``."""
+    chosen: list[int] = []
+    room = capacity
+    used: dict[int, int] = {}
+
+    def longest(limit: int, least: int) -> int:
+        while limit >= least and (found := stock.most(limit, least)):
+            if stock.left[found] > used.get(found, 0):
+                return found
+            limit = found - 1
+        return 0
+
+    for k, part in enumerate(pattern):
+        low, high = max(1, int((part - 0.5) * width)), int((part + 0.5) * width)
+        if k == len(pattern) - 1:
+            last = longest(room, max(1, room - most_slack))
+            if not last:
+                return None
+            return (*chosen, last)
+        if k == len(pattern) - 2:
+            # This part and the last one together: the first pair that fills the room, else the fullest.
+            best, length = (0, 0), longest(min(room - 1, high), low)
+            while length:
+                used[length] = used.get(length, 0) + 1
+                last = longest(room - length, max(1, room - length - most_slack))
+                used[length] -= 1
+                if last and length + last > sum(best):
+                    best = (length, last)
+                    if length + last == room:
+                        break
+                length = longest(length - 1, low)
+            return (*chosen, *best) if best[0] else None
+        length = longest(min(room - 1, high), low)
+        if not length:
+            return None
+        chosen.append(length)
+        used[length] = used.get(length, 0) + 1
+        room -= length
+    return None
+
+
+def fitted(stock: _Stock, capacity: int, units: int, most_slack: int = MOST_SLACK) -> list[Pattern]:
     """Fills the rounded least-squares patterns from the stock."""
     width = capacity / units
     coarse = np.zeros(units + 1)
@@ -96,32 +143,25 @@ def fitted(stock: _Stock, capacity: int, units: int) -> list[Pattern]:
     out: list[Pattern] = []
     for j in np.argsort([-max(p) for p in all_patterns], kind="stable"):
         todo = int(repeats[j])
-        while todo > 0:
-            chosen: list[int] = []
-            room = capacity
-            for k, part in enumerate(all_patterns[j]):
-                last = k == len(all_patterns[j]) - 1
-                low, high = (part - 0.5) * width, (part + 0.5) * width
-                used = {x: chosen.count(x) for x in set(chosen)}
-                limit, length = min(room, capacity if last else int(high)), 0
-                while limit > 0 and (length := stock.most(limit, 0 if last else int(low))):
-                    if stock.left[length] > used.get(length, 0):
-                        break
-                    limit, length = length - 1, 0
-                if not length:
-                    break
-                chosen.append(length)
-                room -= length
-            if len(chosen) < len(all_patterns[j]) or room > MOST_SLACK:
-                break
+        while todo > 0 and (chosen := filled(stock, all_patterns[j], capacity, width, most_slack)):
             times = min([todo, *(stock.left[x] // chosen.count(x) for x in set(chosen))])
-            for x in chosen:
-                stock.take(x, times)
-            out.append((tuple(chosen), times))
+            for x in set(chosen):
+                stock.take(x, times * chosen.count(x))
+            out.append((chosen, times))
             todo -= times
     return out
 
 
+def fitted_again(stock: _Stock, capacity: int, units: int, fits: int = FITS, most_slack: int = MOST_SLACK) -> list[Pattern]:
+    """Fits what is left of the histogram until nothing more is filled, ``fits`` times at most."""
+    out: list[Pattern] = []
+    for _ in range(fits):
+        if not (more := fitted(stock, capacity, units, most_slack)):
+            break
+        out += more
+    return out
+
+
 def best_fit(stock: _Stock, capacity: int, open_patterns: list[Pattern]) -> list[Pattern]:
     """Packs the rest: longest first, each into the fullest sequence that still has room, else a new one."""
     groups: dict[int, list[Pattern]] = {}
@@ -163,8 +203,16 @@ def best_fit(stock: _Stock, capacity: int, open_patterns: list[Pattern]) -> list
 
 
 def plan(histogram: dict[int, int], capacity: int, units: int = UNITS) -> list[Pattern]:
-    """(lengths in one sequence, number of such sequences) for the whole histogram."""
-    stock = _Stock({k: n for k, n in histogram.items() if k < capacity})
+    """(lengths in one sequence, number of such sequences) for the whole histogram.
+
+    Patterns with a little room need small residuals to fill it. Where a histogram has none, and exact fills, or none at
+    all, would need fewer sequences, these are taken.
+    """
+    plans = []
+    for fits, most_slack in ((FITS, MOST_SLACK), (1, 0), (0, 0)):
+        stock = _Stock({k: n for k, n in histogram.items() if k < capacity})
+        plans.append(best_fit(stock, capacity, fitted_again(stock, capacity, units, fits, most_slack)))
+    sizes = [sum(n for _, n in p) for p in plans]
+    packed = next(p for p, n in zip(plans, sizes, strict=True) if n <= (1 + TOLERANCE) * min(sizes))
     full = histogram.get(capacity, 0)
-    packed = best_fit(stock, capacity, fitted(stock, capacity, units))
     return ([((capacity,), full)] if full else []) + packed

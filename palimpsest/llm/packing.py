@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,10 @@ from palimpsest.llm.sharding import number_slots
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-#: Words, and parts of words, whose ids a Python worker keeps; beyond that it begins anew.
+#: Words, and parts of words, whose ids a Python worker keeps, and the longest of them in bytes; beyond that it begins anew.
 CACHED_WORDS = 200_000
 CACHED_PARTS = 400_000
+LONGEST_CACHED = 64
 #: How this tokenizer cuts lower-case words without an apostrophe.
 PARTS = regex.compile(r"\p{L}+|\p{N}|[^\x85\xa0\p{L}\p{N}]+")
 #: Up to this letter, no letter combines with its neighbours or changes case by context.
@@ -76,7 +78,9 @@ class WordEncoder:
     def part(self, p: str) -> bytes:
         if (ids := self.parts.get(p)) is None:
             shown = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = self.parts[p] = _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
+            ids = _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
+            if len(shown) <= LONGEST_CACHED:
+                self.parts[p] = ids
         return ids
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
@@ -92,6 +96,9 @@ class WordEncoder:
             if new := {w for own in some for w in own if w not in known}:
                 self.learn(new)
             out += [b"".join(map(known.__getitem__, own)) + END for own in some]
+            for w in new:
+                if len(w) > LONGEST_CACHED:
+                    del known[w]
         return out
 
 
@@ -104,17 +111,22 @@ def encode(batch: list[bytes], tokenizer_file: str) -> list[bytes]:
 def tokenised_pieces(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): documents' ids, cut where they exceed ``capacity``."""
     path = tokenizer_file or default_tokenizer()
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
     def batch(b: pa.RecordBatch) -> pa.Table:
-        rows = []
+        rows, parts = [], []
         for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(texts(b), path), strict=True):
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
-                rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *[memoryview(part).cast("I").tolist()] * with_ids))
-        return pa.table(list(map(list, zip(*rows, strict=True))), schema=pa.schema(fields))
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+                rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                parts += [part] * with_ids
+        out = pa.table(list(map(list, zip(*rows, strict=True))), schema=pa.schema(fields))
+        if not with_ids:
+            return out
+        ends = np.cumsum([0, *(r[3] for r in rows)], dtype=np.int32)
+        return out.append_column("ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32))))
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), batch, schema)
 
 
@@ -131,21 +143,21 @@ def places(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return out
 
 
-def pack(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Packs every row of ``docs`` (doc_id, text).
+def pack(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """Packs every row of ``docs`` (doc_id, text): (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]).
 
     Edge cases: a null, empty or blank text is the one id 0; longer documents than
     ``capacity`` are cut into pieces of it, the last as long as the rest; rows that repeat
     are packed each; numbers among equal lengths follow hashes and ids, so ties never
     matter; an empty table gives no rows; other columns are ignored.
     """
-    pieces = checkpoint(tokenised_pieces(docs, tokenizer_file, capacity))
+    pieces = checkpoint(tokenised_pieces(docs, tokenizer_file, capacity, with_ids))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     where = docs.sparkSession.createDataFrame(places(histogram, capacity), "length long, first long, times long, sequence long, offset long")
     numbered = number_slots(pieces, "length", ["doc_id", "piece", "ids_crc32"], ["doc_id", "piece"])
     # The places depend on the capacity and the plan, not on the number of documents.
     placed = numbered.join(F.broadcast(where), (numbered["length"] == where["length"]) & (F.col("slot") >= F.col("first")) & (F.col("slot") < F.col("first") + F.col("times")))
-    return placed.select("doc_id", "piece", "start", numbered["length"], "ids_crc32", (F.col("sequence") + F.col("slot") - F.col("first")).alias("sequence_id"), "offset")
+    return placed.select("doc_id", "piece", "start", numbered["length"], "ids_crc32", (F.col("sequence") + F.col("slot") - F.col("first")).alias("sequence_id"), "offset", *["ids"] * with_ids)
 
 
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,30 @@ def test_pieces_join_to_documents(documents, odd):
         assert len(sequences) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
 
 
+def test_ids_come_along(documents):
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    for r in packing.pack(documents, with_ids=True).collect():
+        ids = [*whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
+        assert r["ids"] == ids[r["start"] : r["start"] + r["length"]] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+
+
+def test_most_sequences_come_from_patterns():
+    rng = random.Random(2)
+    h = Counter(min(2047, max(1, int(rng.lognormvariate(6.2, 0.9)))) for _ in range(10_000))
+    stock = pack_plan._Stock(h)
+    fitted = pack_plan.fitted_again(stock, 2048, pack_plan.UNITS)
+    whole, bound = pack_plan.plan(h, 2048), sum(k * n for k, n in h.items()) / 2048
+    assert all(0 <= 2048 - sum(p) <= pack_plan.MOST_SLACK for p, _ in fitted)
+    assert sum(n for _, n in fitted) >= 0.8 * sum(n for _, n in whole) and sum(n for _, n in whole) <= 1.002 * bound + 1
+
+
+def test_caches_hold_no_long_words():
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    encoder.encode([b"x" * 100_000 + b" word", "é".encode() * 50_000])
+    assert all(len(w) <= packing.LONGEST_CACHED for w in encoder.words) and len(encoder.words) == 1
+
+
 def best_fit_decreasing(h):
     """Each piece, the longest first, into the fullest sequence that has room."""
     rooms, n = [], 0
