@@ -1,6 +1,6 @@
 """Quality by nearest neighbours among labelled latent-semantic vectors.
 
-A text's terms are pairs of neighbouring character classes, and how its words repeat. Their
+A text's terms are its words (hashed to a set number), pairs of neighbouring character classes, and how its words repeat. Their
 weighted frequencies in a bounded sample of labelled texts give a latent space (the leading
 right singular vectors). The sample's vectors go to every task; each document's cosines with
 all of them are computed exactly, block by block, and the nearest vote with their labels,
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from xxhash import xxh64_intdigest
+
 from palimpsest.llm.common import arrow_map, bucket_of, table, texts
 from palimpsest.llm.text_counts import numbered, words_in_repeats
 
@@ -39,7 +41,26 @@ CLASS[:32][CLASS[:32] == len(_GROUPS) + len(_MARKS)] = 0
 CLASSES = len(_GROUPS) + len(_MARKS) + 1
 #: Beside the pairs: words equal to the one before, words in repeated windows, words that are not new, and short texts.
 EXTRA = 4
-TERMS = CLASSES * CLASSES + EXTRA
+#: Terms that words are hashed to, and how much they weigh beside the others.
+LEXICAL, LEXICAL_WEIGHT = 1024, 0.5
+TERMS = LEXICAL + CLASSES * CLASSES + EXTRA
+_MARKS_AROUND = b"!?.,;:'\"()[]{}*#$%&|<>-_/\\+=~^@`"
+_CACHED, _LONGEST_CACHED = 200_000, 64
+
+
+class _Buckets(dict):
+    """Word -> its term; words are hashed once, but for very long ones, and then kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        k = xxh64_intdigest(word.strip(_MARKS_AROUND)) % LEXICAL
+        if len(word) <= _LONGEST_CACHED:
+            if len(self) >= _CACHED:
+                self.clear()
+            self[word] = k
+        return k
+
+
+_buckets = _Buckets()
 
 
 def term_frequencies(text: bytes) -> np.ndarray:
@@ -50,7 +71,8 @@ def term_frequencies(text: bytes) -> np.ndarray:
         return out
     own = CLASS[np.frombuffer(text, np.uint8)].astype(np.int64)
     pairs = np.bincount(own[:-1] * CLASSES + own[1:], minlength=CLASSES * CLASSES)
-    out[: CLASSES * CLASSES] = pairs / max(len(own) - 1, 1)
+    out[LEXICAL:-EXTRA] = pairs / max(len(own) - 1, 1)
+    out[:LEXICAL] = LEXICAL_WEIGHT**2 / len(tokens) * np.bincount(list(map(_buckets.__getitem__, text.lower().split())), minlength=LEXICAL)
     ids = numbered(tokens)
     n = len(ids)
     out[-EXTRA:] = np.count_nonzero(ids[1:] == ids[:-1]) / n, words_in_repeats(ids) / n, 0.1 * (1 - (ids.max() + 1) / n), 0.1 / n
@@ -109,9 +131,11 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
     def batch(b: pa.RecordBatch) -> pa.Table:
         return pa.table({"doc_id": b.column("doc_id").cast(pa.int64()), "label": b.column("label").cast(pa.int32()), "terms": pa.array([term_frequencies(t).tobytes() for t in texts(b)], pa.binary())})
 
-    rows = arrow_map(labelled_sample(docs, labels, "quality", may_learn, most), batch, "doc_id long, label int, terms binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    rows = rows[:most]
+    # Rows that repeat a doc_id become one, that of the least text hash, before they are read, so no more than ``most`` come.
+    sample = labelled_sample(docs, labels, "quality", may_learn, most)
+    once = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = arrow_map(once, batch, "doc_id long, label int, terms binary").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     frequencies = np.frombuffer(b"".join(r["terms"] for r in rows), np.float32).reshape(len(rows), TERMS)
     return fit(frequencies, np.array([r["label"] for r in rows], np.int64))
 
@@ -124,7 +148,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text).
 
     Edge cases: a null, empty or blank text has no terms and gets the sample's share of
-    label 1; a doc_id labelled twice counts as 1 if any label is; repeated rows are scored
+    label 1; of rows with one labelled doc_id, one is learned from; a doc_id labelled twice counts as 1 if any label is; repeated rows are scored
     each; without labels every score is one half; an empty table gives no rows; other
     columns are ignored.
     """

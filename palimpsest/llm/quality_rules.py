@@ -3,8 +3,8 @@
 Each document has a few integer measures. For every language and source, each measure's
 distribution is kept as a sketch: counts by bucket, seven significant bits wide, so that any
 two sketches merge by adding counts and a quantile is off by less than one part in 64. The
-cutoffs are fences around a sketch's median; a source with few documents takes its language's
-merged sketch. A join of documents with the fences then gives the verdict.
+cutoffs are fences around a sketch's median; the fewer documents a source has, the nearer its quantiles are taken to
+those of its language's merged sketch. A join of documents with the fences then gives the verdict.
 """
 
 from __future__ import annotations
@@ -21,18 +21,18 @@ from palimpsest.llm.text_counts import WHITE, count_of, numbered, repeated_lines
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 10
 MOST_REPEATS = 20
-#: Measure: (its count, how much of it is 1 for a word, the narrowest fence, whether there is a lower fence too).
+#: Measure: (its count, how much of it is 1 for a word, the narrowest upper fence, the narrowest lower fence or None).
 MEASURES = {
-    "symbols": ("n_symbols", 1000, 100, False),
-    "word_length": ("word_chars", 100, 400, True),
-    "dup_lines": ("n_dup_lines", 1000, 50, False),
-    "repeats": ("n_repeat_words", 1000, 200, False),
-    "stutter": ("n_stutter", 1000, 150, False),
+    "symbols": ("n_symbols", 1000, 100, None),
+    "word_length": ("word_chars", 100, 400, 250),
+    "dup_lines": ("n_dup_lines", 1000, 50, None),
+    "repeats": ("n_repeat_words", 1000, 190, None),
+    "stutter": ("n_stutter", 1000, 150, None),
 }
 #: A fence is this many times the distance from the median to the tenth on its far side.
 SPREAD = 6
-#: Sources with fewer documents take their language's sketch.
-LEAST_DOCUMENTS = 50
+#: A source of so many documents stands half way between its language's quantiles and its own.
+HALF_WAY = 50
 #: As many (language, source, measure) fences are broadcast at most.
 BROADCAST_FENCES = 200_000
 BUCKET_BITS = 7
@@ -98,13 +98,13 @@ def fences(parts: DataFrame) -> DataFrame:
     own = quantiles(parts, "lang", "source")
     wide = quantiles(merged(parts, "lang"), "lang").select("lang", "measure", *(F.col(q).alias(f"lang_{q}") for q in ("q10", "q50", "q90")))
     both = own.join(wide, ["lang", "measure"])
-    q = {k: F.when(F.col("total") >= LEAST_DOCUMENTS, F.col(k)).otherwise(F.col(f"lang_{k}")) for k in ("q10", "q50", "q90")}
+    q = {k: F.expr(f"(total * {k} + {HALF_WAY} * lang_{k}) div (total + {HALF_WAY})") for k in ("q10", "q50", "q90")}
     out = []
-    for m, (_, _, margin, two_sided) in MEASURES.items():
+    for m, (_, _, above, below) in MEASURES.items():
         mine = F.col("measure") == m
-        out.append(F.max(F.when(mine, q["q50"] + F.greatest(F.lit(margin), SPREAD * (q["q50"] - q["q10"])))).alias(f"{m}_high"))
-        if two_sided:
-            out.append(F.max(F.when(mine, q["q50"] - F.greatest(F.lit(margin), SPREAD * (q["q90"] - q["q50"])))).alias(f"{m}_low"))
+        out.append(F.max(F.when(mine, q["q50"] + F.greatest(F.lit(above), SPREAD * (q["q50"] - q["q10"])))).alias(f"{m}_high"))
+        if below is not None:
+            out.append(F.max(F.when(mine, q["q50"] - F.greatest(F.lit(below), SPREAD * (q["q90"] - q["q50"])))).alias(f"{m}_low"))
     return both.groupBy("lang", "source").agg(*out)
 
 
@@ -120,9 +120,9 @@ def judge(docs: DataFrame) -> DataFrame:
     if limits.count() * len(MEASURES) <= BROADCAST_FENCES:
         limits = F.broadcast(limits)
     inside = F.lit(True)
-    for m, (_, _, _, two_sided) in MEASURES.items():
+    for m, (_, _, _, below) in MEASURES.items():
         inside &= value(m) <= F.col(f"{m}_high")
-        if two_sided:
+        if below is not None:
             inside &= value(m) >= F.col(f"{m}_low")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = measured.join(limits, ["lang", "source"], "left").withColumn("base_failed", base_failed())
@@ -138,9 +138,10 @@ def oracle() -> str:
     values = {m: f"({unit} * {count} // n_words)" for m, (count, unit, _, _) in MEASURES.items()}
     rows = " union all ".join(f"select lang, source, '{m}' as measure, {v} as v from passed" for m, v in values.items())
     high = ", ".join(f"max(case when measure = '{m}' then q50 + greatest({g}, {SPREAD} * (q50 - q10)) end) as {m}_high" for m, (_, _, g, _) in MEASURES.items())
-    low = ", ".join(f"max(case when measure = '{m}' then q50 - greatest({g}, {SPREAD} * (q90 - q50)) end) as {m}_low" for m, (_, _, g, two) in MEASURES.items() if two)
-    inside = " and ".join([f"{v} <= {m}_high" for m, v in values.items()] + [f"{values[m]} >= {m}_low" for m, x in MEASURES.items() if x[3]])
+    low = ", ".join(f"max(case when measure = '{m}' then q50 - greatest({g}, {SPREAD} * (q90 - q50)) end) as {m}_low" for m, (_, _, _, g) in MEASURES.items() if g is not None)
+    inside = " and ".join([f"{v} <= {m}_high" for m, v in values.items()] + [f"{values[m]} >= {m}_low" for m, x in MEASURES.items() if x[3] is not None])
     tenths = ", ".join(f"min(case when 10 * upto >= {k} * total then bucket end) as q{k}0" for k in (1, 5, 9))
+    shrunk = ", ".join(f"((total * own.q{k}0 + {HALF_WAY} * wide.q{k}0) // (total + {HALF_WAY}))::bigint as q{k}0" for k in (1, 5, 9))
     return rf"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
 w as (select rid, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d)),
@@ -162,9 +163,7 @@ own as (select lang, source, measure, max(total) as total, {tenths} from (
 wide as (select lang, measure, {tenths} from (
     select *, sum(n) over (partition by lang, measure) as total, sum(n) over (partition by lang, measure order by bucket) as upto
     from (select lang, measure, bucket, sum(n) as n from s group by all)) group by all),
-q as (select own.lang, own.source, own.measure, case when total >= {LEAST_DOCUMENTS} then own.q10 else wide.q10 end as q10,
-    case when total >= {LEAST_DOCUMENTS} then own.q50 else wide.q50 end as q50, case when total >= {LEAST_DOCUMENTS} then own.q90 else wide.q90 end as q90
-    from own join wide using (lang, measure)),
+q as (select own.lang, own.source, own.measure, {shrunk} from own join wide using (lang, measure)),
 f as (select lang, source, {high}, {low} from q group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(not base_failed and {inside}, false) as kept
 from b left join f using (lang, source)"""

@@ -106,7 +106,7 @@ def features(text: bytes, lexicon: Lexicon) -> tuple[float, ...]:
     marks = size - len(text.translate(None, _MARKS))
     return (
         100 * sum(flags & _INSULT > 0 for _, _, _, flags in hits) / n, 100 * sum(odds > 0 for _, odds, _, _ in hits) / n, float(len({e for _, odds, e, _ in hits if odds})),
-        float(min(len(hits), 50)), max((odds for _, odds, _, _ in hits), default=0.0), near / max(len(hits), 1), 100 * len(you) / n, capitals / max(letters, 1),
+        math.log1p(len(hits)), max((odds for _, odds, _, _ in hits), default=0.0), near / max(len(hits), 1), 100 * len(you) / n, capitals / max(letters, 1),
         100 * (text.count(b"!") + text.count(b"?")) / size, 100 * marks / size, 100 * sum(flags & _OBFUSCATED > 0 for _, flags, _, _ in found) / n,
         float(sum(flags & _DISGUISED > 0 for _, flags, _, _ in found)), math.log1p(n),
     )
@@ -194,8 +194,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         held = trees.transform(assembler.transform(of_part(dense, "calibration"))).select(raw.alias("raw"), F.col("label").cast("double").alias("label"), "weight")
         isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(held)
         ranked = trees.transform(assembler.transform(every)).select("doc_id", raw.alias("raw"))
-        # The trees' own probability parts what calibration makes equal, without crossing the threshold.
-        scored = isotonic.transform(ranked).select("doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.98 * F.col("calibrated") + 0.02 * F.col("raw"))).alias("score"))
+        scored = isotonic.transform(ranked).select("doc_id", F.col("calibrated").alias("score"))
     else:
         total = sum(shares.values())
         scored = every.select("doc_id", F.lit(sum(n for (_, k), n in shares.items() if k == 1) / total if total else 0.0).alias("score"))

@@ -51,5 +51,25 @@ def test_clean_stays_and_junk_goes(documents, labels):
     assert judged.where("quality = 0 AND kept").count() == 0
 
 
+def test_few_documents_draw_fences_to_the_languages_without_a_jump(spark):
+    """A source's fence moves from its language's to its own as its documents become more, one step at a time."""
+    text = lambda symbols, i: " ".join(f"word{i}x{k}" + "#" * (k < symbols) for k in range(200))
+    many = [(i, text(0, i), "en", "plain", 0) for i in range(400)]
+    fence = []
+    for n in (1, 49, 50, 51, 400):
+        rows = many + [(1000 + i, text(100, 1000 + i), "en", "marked", 0) for i in range(n)]
+        found = Q.fences(Q.sketches(Q.measures(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))))
+        fence.append({r["source"]: r["symbols_high"] for r in found.collect()}["marked"])
+    assert fence == sorted(fence) and fence[-1] > 300 + fence[0] and fence[3] - fence[1] < 10
+
+
+def test_every_fence_can_reject(spark):
+    good = [(i, " ".join(f"word{i}x{k}" for k in range(200)), "en", "a", 0) for i in range(100)]
+    short, often = " ".join("a b c d e f g h i j k l m n o p q r s t u v w x y z".split()), " ".join([*(f"word{k}" for k in range(161)), *["one two three four five six seven eight nine ten eleven twelve thirteen"] * 3])
+    rows = [*good, (200, short, "en", "a", 0), (201, often, "en", "a", 0)]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert got[200] == (False, False) and got[201] == (False, False) and all(got[i] == (False, True) for i in range(100))
+
+
 def test_no_rows(nothing):
     assert Q.judge(nothing).count() == 0
