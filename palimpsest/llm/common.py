@@ -19,24 +19,66 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: As many keys of rows are broadcast at most; beyond that rows and keys meet in a shuffle.
+BROADCAST_KEYS = 1_000_000
+_temporary: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the folder that the cluster shares and cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests on one machine, a temporary folder takes its place.
+    Only a session on one machine may leave it unset, and then gets a temporary folder.
     """
+    if (folder := spark.conf.get(CHECKPOINT_DIR, None)) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_DIR} is unset: name a folder that all machines share")
+        application = spark.sparkContext.applicationId
+        if application not in _temporary:
+            _temporary[application] = tempfile.mkdtemp(prefix="palimpsest-")
+        folder = _temporary[application]
+    return folder.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the folder that the cluster shares and cuts its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get(CHECKPOINT_DIR, None) or tempfile.mkdtemp(prefix="palimpsest-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def known_by() -> dict[str, Column]:
+    """What a row of documents is known by, in the order of rows."""
+    return {"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_hash": F.xxhash64("text")}
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose keys (``known_by``) are in ``stay``, one for each key; ``rows`` has the keys of all, as often as they come.
+
+    The keys that go are sent to every task where they are few, so that no text is shuffled; only rows whose key repeats are
+    compared with one another.
+    """
+    names = list(known_by())
+    counted = checkpoint(rows.groupBy(*names).agg(F.count("*").alias("n")).join(stay.withColumn("stays", F.lit(True)), names, "left"))
+    go, twice = counted.where("stays IS NULL").select(*names), counted.where("stays AND n > 1").select(*names)
+    sizes = counted.agg(F.count_if("stays IS NULL").alias("go"), F.count_if("stays AND n > 1").alias("twice")).first()
+    own = {f"_{k}": c for k, c in known_by().items()}
+
+    def of(keys: DataFrame, n: int, how: str, left: DataFrame) -> DataFrame:
+        keys = keys.select(*(F.col(k).alias(f"_{k}") for k in names))
+        return left.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, list(own), how)
+
+    kept = of(go, sizes["go"], "left_anti", docs.withColumns(own))
+    if sizes["twice"]:
+        once = of(twice, sizes["twice"], "left_semi", kept).dropDuplicates(list(own))
+        kept = of(twice, sizes["twice"], "left_anti", kept).unionByName(once)
+    return kept.select(*docs.columns)
+
+
 def arrow_map(df: DataFrame, batch_fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; empty results are left out."""
 

@@ -1,8 +1,8 @@
 """Near-duplicates by SimHash, with a forest of vantage-point trees.
 
 Documents become 64-bit fingerprints; fingerprints link at ``RADIUS`` or fewer
-differing bits. The 64 bits are cut into three views. Two linked fingerprints
-differ in at most RADIUS // 3 = 1 bit of some view, so it is enough to search each
+differing bits. The 64 bits are cut into blocks, and a view is some of the blocks: of any two
+linked fingerprints some view differs in few bits or none (``Views``), so it is enough to search each
 view's own Hamming space with that radius. In each view a vantage-point tree splits
 the space: a node has a vantage point and a distance; fingerprints nearer than that
 go one way, the rest the other. Each fingerprint lives in one leaf (a shard), and,
@@ -11,13 +11,16 @@ radius reaches: it is also sent, as a query, over each boundary that the ball ov
 Leaves compare whole fingerprints exactly, so no link is lost and none is invented.
 
 Vantage points come from a hash of the node's number, so that the tree needs no
-sample and no driver memory; its depth follows the number of fingerprints.
+sample and no driver memory; its depth follows the number of fingerprints. A ball of one bit overlaps a third of the
+boundaries, so its copies grow with the depth; with more views the radius is zero and a fingerprint has one copy a view: 5
+for up to 4 million fingerprints, 15 for up to a thousand million, then 35.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import repeat
+from dataclasses import dataclass
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -26,15 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from palimpsest.llm.common import arrow_map, checkpoint, lowered_words, mix64, table, texts
+from palimpsest.llm.common import arrow_map, checkpoint, keep_rows, lowered_words, mix64, table, texts
 from palimpsest.llm.components import connected_components
 
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
-#: (lowest bit, bits) of each view.
-VIEWS = ((0, 22), (22, 21), (43, 21))
-VIEW_RADIUS = RADIUS // len(VIEWS)
 #: Fingerprints that a leaf is meant to hold; the tree is as deep as that takes.
 LEAF_SIZE = 1024
 #: Leaves with more fingerprints than this are compared in tiles, each a task's group of its own.
@@ -44,6 +44,38 @@ SALTS = 32
 _HASHES_AT_ONCE = 1 << 16
 
 
+@dataclass(frozen=True)
+class Views:
+    """Masks of the views, and the radius in each. Of ``blocks`` blocks RADIUS bits can change so many; a view is some of the others."""
+
+    masks: tuple[int, ...]
+    radius: int
+
+    @staticmethod
+    def of(blocks: int, together: int = 1) -> Views:
+        """Every ``together`` of ``blocks`` blocks. One at a time they have the radius that some block keeps; more need blocks to spare."""
+        edges = [64 * i // blocks for i in range(blocks + 1)]
+        own = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return Views(tuple(sum(c) for c in combinations(own, together)), RADIUS // blocks if together == 1 else 0)
+
+    @property
+    def bits(self) -> int:
+        return min(m.bit_count() for m in self.masks)
+
+    def copies(self, depth: int) -> float:
+        """A fingerprint's copies, about: at each level a ball of one bit overlaps the boundary for a third of them."""
+        return len(self.masks) * (1 + 0.34 * self.radius) ** depth
+
+
+#: Three blocks, of which RADIUS changes leave one with one change at most; five, of which one is unchanged; six and two; seven and three.
+CHOICES = (Views.of(3), Views.of(5), Views.of(6, 2), Views.of(7, 3))
+
+
+def views_for(depth: int) -> Views:
+    """The views with the fewest copies among those whose bits suffice for trees of this depth."""
+    return min((v for v in CHOICES if v.bits >= depth), key=lambda v: v.copies(depth), default=CHOICES[-1])
+
+
 def simhash(tokens: list[bytes], width: int = SHINGLE_WORDS) -> int:
     """The fingerprint of a word sequence; without words it is 0."""
     if not tokens:
@@ -68,35 +100,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")), batch, "doc_id long, fp long, text_hash long")
 
 
-def vantage_points(nodes: np.ndarray, view: int) -> np.ndarray:
+def vantage_points(nodes: np.ndarray, views: Views, view: int) -> np.ndarray:
     """Each node's vantage point, in the view's bits."""
-    low, bits = VIEWS[view]
     with np.errstate(over="ignore"):
-        return (mix64(nodes.astype(np.uint64) * np.uint64(len(VIEWS)) + np.uint64(view)) & np.uint64((1 << bits) - 1)) << np.uint64(low)
+        return mix64(nodes.astype(np.uint64) * np.uint64(len(views.masks)) + np.uint64(view)) & np.uint64(views.masks[view])
 
 
-def descend(fp: np.ndarray, view: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def descend(fp: np.ndarray, views: Views, view: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaves that each fingerprint's ball reaches: (index into fp, leaf, whether it is the one it lives in)."""
-    low, bits = VIEWS[view]
-    mask, near = np.uint64(((1 << bits) - 1) << low), (bits - 1) // 2
+    mask, radius = np.uint64(views.masks[view]), views.radius
+    near = (views.masks[view].bit_count() - 1) // 2
     at, node, home = np.arange(len(fp)), np.ones(len(fp), np.int64), np.ones(len(fp), bool)
     for _ in range(depth):
-        d = np.bitwise_count((fp[at] ^ vantage_points(node, view)) & mask).astype(np.int64)
-        inside, left, right = d <= near, d - VIEW_RADIUS <= near, d + VIEW_RADIUS > near
+        d = np.bitwise_count((fp[at] ^ vantage_points(node, views, view)) & mask).astype(np.int64)
+        inside, left, right = d <= near, d - radius <= near, d + radius > near
         at = np.concatenate([at[left], at[right]])
         home = np.concatenate([(home & inside)[left], (home & ~inside)[right]])
         node = np.concatenate([2 * node[left], 2 * node[right] + 1])
     return at, node, home
 
 
-def in_leaves(distinct: DataFrame, depth: int, homes_only: bool = False) -> DataFrame:
+def in_leaves(distinct: DataFrame, views: Views, depth: int, homes_only: bool = False) -> DataFrame:
     """(view, leaf, fp, home) for every view."""
 
     def batch(b: pa.RecordBatch) -> pa.Table:
         fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
         parts = []
-        for view in range(len(VIEWS)):
-            at, leaf, home = descend(fp, view, depth)
+        for view in range(len(views.masks)):
+            at, leaf, home = descend(fp, views, view, depth)
             if homes_only:
                 at, leaf, home = at[home], leaf[home], home[home]
             parts.append(pa.table({"view": np.full(len(at), view, np.int32), "leaf": leaf, "fp": fp[at].view(np.int64), "home": home}))
@@ -143,14 +174,15 @@ def leaf_links(homes: np.ndarray, queries: np.ndarray, radius: int = RADIUS, row
     return nodes[linked], nodes[label[linked]]
 
 
-def fingerprint_links(distinct: DataFrame, count: int, leaf_size: int = LEAF_SIZE, tile: int = TILE) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, count: int, leaf_size: int = LEAF_SIZE, tile: int = TILE, views: Views | None = None) -> DataFrame:
     """(u, v) star links whose components are those of all pairs within RADIUS bits.
 
     ``count`` is the number of rows of ``distinct``; it sets the depth of the trees.
     """
     depth = max(0, math.ceil(math.log2(max(count, 1) / leaf_size)))
-    rows = in_leaves(distinct, depth)
-    sizes = in_leaves(distinct, depth, homes_only=True).groupBy("view", "leaf").count()
+    views = views or views_for(depth)
+    rows = in_leaves(distinct, views, depth)
+    sizes = in_leaves(distinct, views, depth, homes_only=True).groupBy("view", "leaf").count()
     largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest > tile:
         tiles = sizes.where(F.col("count") > tile).select("view", "leaf", F.ceil(F.col("count") / tile).cast("int").alias("cuts"))
@@ -210,8 +242,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Columns are those of ``docs``. A row is known by its doc_id and its text, so of rows
     that repeat both only one stays; rows without a doc_id come after all others.
     """
-    known = {"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_text": F.xxhash64("text")}
     prints = checkpoint(fingerprints(docs))
-    groups = with_components(prints).groupBy("root").agg(F.min(F.struct(*(c.alias(k) for k, c in known.items() if k != "_text"), F.col("text_hash").alias("_text"))).alias("first"))
-    once = docs.withColumns(known).dropDuplicates(list(known))
-    return once.join(groups.select("first.*"), list(known), "left_semi").select(*docs.columns)
+    keys = {"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "text_hash": F.col("text_hash")}
+    rows = with_components(prints).select("root", *(c.alias(k) for k, c in keys.items()))
+    first = rows.groupBy("root").agg(F.min(F.struct(*keys)).alias("first")).select("first.*")
+    return keep_rows(docs, rows.select(*keys), first)

@@ -35,8 +35,8 @@ def test_groups_equal_brute_force(request, name):
     assert sorted(map(tuple, D.near_duplicates(docs).collect()), key=str) == want
 
 
-@pytest.mark.parametrize("leaf, tile", [(1024, 4096), (16, 4096), (16, 8), (100000, 300)])
-def test_trees_lose_no_link(spark, leaf, tile):
+@pytest.mark.parametrize("leaf, tile, views", [(1024, 4096, None), (16, 4096, None), (16, 4096, 0), (16, 8, 0), (16, 8, 1), (16, 4096, 2), (16, 4096, 3), (100000, 300, None)])
+def test_trees_lose_no_link(spark, leaf, tile, views):
     rng = np.random.default_rng(3)
     points = set()
     for b in rng.integers(0, 2**63, 120, dtype=np.uint64):
@@ -48,7 +48,7 @@ def test_trees_lose_no_link(spark, leaf, tile):
     prints = np.array(sorted(points), np.uint64)
     signed = prints.view(np.int64)
     df = spark.createDataFrame([(int(x),) for x in signed], "fp long")
-    root = {r["u"]: r["v"] for r in C.connected_components(D.fingerprint_links(df, len(prints), leaf, tile)).collect()}
+    root = {r["u"]: r["v"] for r in C.connected_components(D.fingerprint_links(df, len(prints), leaf, tile, None if views is None else D.CHOICES[views])).collect()}
     near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
     label = signed.copy()
     while True:
@@ -62,17 +62,37 @@ def test_trees_lose_no_link(spark, leaf, tile):
 def test_queries_reach_every_leaf_within_the_views_radius():
     rng = np.random.default_rng(4)
     fp = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    for view, (low, bits) in enumerate(D.VIEWS):
-        at, leaf, home = D.descend(fp, view, 6)
+    views = D.CHOICES[0]
+    for view, mask in enumerate(views.masks):
+        at, leaf, home = D.descend(fp, views, view, 6)
         reached = {(int(a), int(n)) for a, n in zip(at, leaf, strict=True)}
-        assert home.sum() == len(fp)
-        for k in range(bits):
-            _, other, other_home = D.descend(fp ^ np.uint64(1 << (low + k)), view, 6)
-            at2 = D.descend(fp ^ np.uint64(1 << (low + k)), view, 6)[0]
+        assert home.sum() == len(fp) and views.radius == 1
+        for k in (b for b in range(64) if mask >> b & 1):
+            at2, other, other_home = D.descend(fp ^ np.uint64(1 << k), views, view, 6)
             for a, n in zip(at2[other_home], other[other_home], strict=True):
                 assert (int(a), int(n)) in reached
 
 
+def test_some_view_keeps_its_radius_for_any_link():
+    rng = np.random.default_rng(6)
+    for views in D.CHOICES:
+        for _ in range(2000):
+            changed = sum(1 << int(k) for k in rng.choice(64, D.RADIUS, replace=False))
+            assert min((m & changed).bit_count() for m in views.masks) <= views.radius
+
+
+def test_copies_of_a_fingerprint_grow_slowly():
+    """Fewer than n to the power of 0.2 more copies from one size to the next, and a copy a view where the radius is zero."""
+    def copies(n):
+        depth = max(0, int(np.ceil(np.log2(n / D.LEAF_SIZE))))
+        return D.views_for(depth).copies(depth)
+
+    sizes = [10**k for k in range(6, 12)]
+    assert [copies(n) for n in (10**6, 10**8, 10**9)] == [5, 15, 15] and copies(sizes[-1]) / copies(sizes[0]) < (sizes[-1] / sizes[0]) ** 0.2
+    fp = np.random.default_rng(7).integers(0, 2**63, 3000, dtype=np.uint64)
+    assert all(len(D.descend(fp, v, k, 10)[0]) == len(fp) for v in D.CHOICES[1:] for k in range(len(v.masks)))
+
+
 def test_long_chains_settle(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5000, 5000)], "u long, v long")
     got = {r["u"]: r["v"] for r in C.connected_components(edges).collect()}
@@ -87,3 +107,8 @@ def test_one_of_each_group_stays(documents, odd, nothing):
         assert kept.count() == groups.select("component_id").distinct().count()
         assert kept.select("doc_id").subtract(groups.select("component_id")).count() == 0
     assert D.drop_near_duplicates(nothing).count() == 0 and D.near_duplicates(nothing).count() == 0
+
+
+def test_no_text_is_shuffled_where_few_rows_go(documents):
+    plan = D.drop_near_duplicates(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
