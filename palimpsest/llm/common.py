@@ -43,6 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def deleted(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the folder that the cluster shares and cuts its lineage."""
     context = df.sparkSession.sparkContext
@@ -65,7 +71,7 @@ def keep_rows(docs: DataFrame, rows: DataFrame, stay: DataFrame) -> DataFrame:
     names = list(known_by())
     counted = checkpoint(rows.groupBy(*names).agg(F.count("*").alias("n")).join(stay.withColumn("stays", F.lit(True)), names, "left"))
     go, twice = counted.where("stays IS NULL").select(*names), counted.where("stays AND n > 1").select(*names)
-    sizes = counted.agg(F.count_if("stays IS NULL").alias("go"), F.count_if("stays AND n > 1").alias("twice")).first()
+    sizes = counted.agg(F.expr("count_if(stays IS NULL)").alias("go"), F.expr("count_if(stays AND n > 1)").alias("twice")).first()
     own = {f"_{k}": c for k, c in known_by().items()}
 
     def of(keys: DataFrame, n: int, how: str, left: DataFrame) -> DataFrame:
