@@ -36,7 +36,7 @@ COMMON_WORDS, LONGEST_COMMON = 400_000, 64
 ENDING_CLASSES, HASHED_CLASSES = 56, 7
 CLASSES = 1 + ENDING_CLASSES + HASHED_CLASSES
 #: Slots of a class: for words of their own, and for the rest by the first bytes.
-OWN_SLOTS, SHARED_SLOTS = 32, 16
+OWN_SLOTS, SHARED_SLOTS = 20, 12
 SLOTS = OWN_SLOTS + SHARED_SLOTS
 TOKENS = CLASSES * SLOTS
 ENDING_BYTES, BEGINNING_BYTES = 2, 2
@@ -156,9 +156,9 @@ class Vocabulary(dict):
 def coded(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """(doc_id, hash, n_tokens, n_known, base, shares, rare, places): what one reading of each text gives.
 
-    base and shares are sums over the common words; ``rare`` are left for the join. places: two bytes a token, the end's (0) last.
+    base and shares are sums over the common words; ``rare`` are the others, with spaces between, for the join.
+    places: two bytes a token, the end's (0) last.
     """
-    rare_kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.of(shared)
@@ -175,13 +175,13 @@ def coded(docs: DataFrame, shared: Broadcast) -> DataFrame:
                     known = rank > 0
                     known[-1] = True  # the end
                     logs = float(log_counts[rank[known]].sum())
-                    unknown = Counter([words[k] for k in np.flatnonzero(~known)])
-                    rows.append((len(codes), int(known.sum()) - (ends == 0), logs - len(codes) * base_total, logs - float(log_totals[place].sum()), [{"word": w.decode(), "n": n} for w, n in unknown.items()], place.astype(np.uint16).tobytes()))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_kind, pa.binary())
+                    unknown = b" ".join([words[k] for k in np.flatnonzero(~known).tolist()]).decode() or None
+                    rows.append((len(codes), int(known.sum()) - (ends == 0), logs - len(codes) * base_total, logs - float(log_totals[place].sum()), unknown, place.astype(np.uint16).tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.binary())
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), *columns], ["doc_id", "hash", "n_tokens", "n_known", "base", "shares", "rare", "places"])
 
-    schema = "doc_id long, hash long, n_tokens long, n_known long, base double, shares double, rare array<struct<word string, n long>>, places binary"
+    schema = "doc_id long, hash long, n_tokens long, n_known long, base double, shares double, rare string, places binary"
     return docs.select("doc_id", F.xxhash64("text", "doc_id").alias("hash"), "text").mapInArrow(run, schema)
 
 
@@ -200,8 +200,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], l
         yield rows, group
 
 
-def averaged_round(training: DataFrame, network: Network, rate: float, shards: int) -> Network:
-    """One round: every shard learns from its documents (row, hash, places); their networks are averaged by tokens."""
+def averaged_round(training: DataFrame, network: Network, rate: float) -> Network:
+    """One round: every shard, a partition of (row, places), learns from its documents; their networks are averaged by tokens."""
     start = training.sparkSession.sparkContext.broadcast((network.classes, network.slots, network.hidden, network.vector))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +218,7 @@ def averaged_round(training: DataFrame, network: Network, rate: float, shards: i
         total = sum(np.frombuffer(x, np.float64) for x in group["sums"])
         return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "sums": [total.tobytes()]})
 
-    dealt = training.repartition(shards, "hash").sortWithinPartitions("hash", "row").select("row", "places")
-    rows = dealt.mapInArrow(run, "chunk int, sums binary").withColumn("salt", F.spark_partition_id() % SALTS)
+    rows = training.select("row", "places").mapInArrow(run, "chunk int, sums binary").withColumn("salt", F.spark_partition_id() % SALTS)
     # No task adds many networks: first in SALTS parts, then the parts.
     sums = rows.groupBy("chunk", "salt").applyInPandas(add, "chunk int, sums binary").groupBy("chunk").applyInPandas(add, "chunk int, sums binary").collect()
     if not sums:
@@ -228,12 +227,17 @@ def averaged_round(training: DataFrame, network: Network, rate: float, shards: i
     return network.load((total[:-1] / total[-1]).astype(np.float32))
 
 
-def trained(rows: DataFrame, tokens: int, log_shares: np.ndarray) -> Network:
-    """The network after all rounds over ``rows`` (row, hash, places). Which round and shard a document is in follows from its hash."""
-    network, rounds = Network(CLASSES, SLOTS, log_shares=log_shares), len(RATES)
+def dealt(rows: DataFrame, tokens: int) -> DataFrame:
+    """``rows`` with each shard's documents together, in the order of their hashes."""
     shards = max(1, min(MOST_SHARDS, round(tokens / SHARD_TOKENS)))
+    return rows.repartition(shards, "hash").sortWithinPartitions("hash", "row")
+
+
+def trained(rows: DataFrame, log_shares: np.ndarray) -> Network:
+    """The network after all rounds over ``rows`` (row, hash, places), dealt. Which round and shard a document is in follows from its hash."""
+    network, rounds = Network(CLASSES, SLOTS, log_shares=log_shares), len(RATES)
     for k, rate in enumerate(RATES):
-        network = averaged_round(rows.where(F.pmod(F.shiftright("hash", 32), F.lit(rounds)) == k), network, rate, shards)
+        network = averaged_round(rows.where(F.pmod(F.shiftright("hash", 32), F.lit(rounds)) == k), network, rate)
     return network
 
 
@@ -264,8 +268,8 @@ def score(docs: DataFrame) -> DataFrame:
     base_total = math.log10(tokens + 0.5 * (distinct + 1))
     log_counts = np.log10(np.array([ends, *(c for _, c in common)], np.float64) + 0.5)
     shared = docs.sparkSession.sparkContext.broadcast((uuid4().hex, places, b"\n".join(w for w, _ in common), log_counts, log_totals, base_total, ends))
-    partial = checkpoint(coded(docs, shared).withColumn("row", F.monotonically_increasing_id()))
-    network = trained(partial.where(is_training()).select("row", "hash", "places"), tokens, np.log((mass[:, 0] + 0.5) / (mass[:, 0] + 0.5).sum()).reshape(CLASSES, SLOTS))
+    partial = checkpoint(dealt(coded(docs, shared).withColumn("row", F.monotonically_increasing_id()), tokens))
+    network = trained(partial.where(is_training()).select("row", "hash", "places"), np.log((mass[:, 0] + 0.5) / (mass[:, 0] + 0.5).sum()).reshape(CLASSES, SLOTS))
     final = docs.sparkSession.sparkContext.broadcast(network.vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +278,10 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "path": pa.array(log10_likelihoods(net, group), pa.float64())})
 
     paths = checkpoint(partial.select("row", "places").mapInArrow(run, "row long, path double"))
-    rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    # Words have no space in them. Each counts as often as it comes.
+    rare = partial.select("row", F.explode(F.split("rare", " ")).alias("word"))
     found = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    added = found.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
+    added = found.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("logs"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("seen"))
     logs = F.coalesce("logs", F.lit(0.0))
     return partial.drop("rare", "places").join(paths, "row").join(added, "row", "left").select(
         "doc_id", (~is_training()).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
