@@ -55,13 +55,13 @@ def prefix(index: DataFrame, query: str, most: int = SEARCH_ENTRIES) -> DataFram
 
 def search(index: DataFrame, query: str, movies: DataFrame, actors: DataFrame, most: int = SEARCH_ENTRIES) -> DataFrame:
     """(kind, id, text) of the entities that a prefix search finds; ids without a row are left out."""
-    # At most ``most`` entries.
+    # At most ``most`` names, but of ids that bear a name there is no bound: how they are joined is left to their size.
     hits = prefix(index, query, most)
     m = hits.select(F.explode("movies").alias("movie_id")).distinct()
     a = hits.select(F.explode("actors").alias("actor_id")).distinct()
     return (
-        movies.join(F.broadcast(m), "movie_id").select(F.lit("movie").alias("kind"), F.col("movie_id").alias("id"), F.col("title").alias("text"))
-        .unionByName(actors.join(F.broadcast(a), "actor_id").select(F.lit("actor").alias("kind"), F.col("actor_id").alias("id"), F.col("name").alias("text")))
+        movies.join(m, "movie_id").select(F.lit("movie").alias("kind"), F.col("movie_id").alias("id"), F.col("title").alias("text"))
+        .unionByName(actors.join(a, "actor_id").select(F.lit("actor").alias("kind"), F.col("actor_id").alias("id"), F.col("name").alias("text")))
     )
 
 

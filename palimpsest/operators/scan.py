@@ -58,10 +58,13 @@ def http_scan(
 
     In order: key range, slice, window, and for ``latest`` only, tombstones go. All of these
     but the last commute with the window, as they look at keys and upper time bounds alone.
+    The start key prunes the scan; its time is looked at once the window has chosen.
     """
     until = now if until is None else until
     if since > until or (index is None) != (count is None) or pick.lower() not in ("latest", "between", "through"):
         raise ValueError("bad request")
+    if key is not None:
+        cells = cells.where(F.col("key") >= key)
     if end is not None:
         cells = to_end(cells, end)
     if index is not None:

@@ -28,8 +28,8 @@ def wanted(triples: DataFrame) -> DataFrame:
 
 
 def loaded(triples: DataFrame) -> DataFrame:
-    """(film, title, actor, name, role): performances whose film and actor have names."""
-    pivot = triples.where(F.col("predicate").isin(FILM, ACTOR, CHARACTER)).groupBy("subject").pivot("predicate", [FILM, ACTOR, CHARACTER]).agg(F.first("object"))
+    """(film, title, actor, name, role): performances whose film and actor have names; of two objects the lesser counts."""
+    pivot = triples.where(F.col("predicate").isin(FILM, ACTOR, CHARACTER)).groupBy("subject").pivot("predicate", [FILM, ACTOR, CHARACTER]).agg(F.min("object"))
     rows = pivot.select(*(F.col(f"`{p}`").alias(n) for p, n in ((FILM, "film"), (ACTOR, "actor"), (CHARACTER, "role")))).where("film IS NOT NULL AND actor IS NOT NULL")
     names = triples.where(F.col("predicate") == NAME).groupBy("subject").agg(F.min("object").alias("label"))
     titled = rows.join(names.select(F.col("subject").alias("film"), F.col("label").alias("title")), "film")

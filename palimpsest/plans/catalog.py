@@ -48,7 +48,12 @@ def text(items: Column) -> Column:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        # Only a session on one machine may leave the shared folder unset.
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="palimpsest-")
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
 

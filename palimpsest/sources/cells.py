@@ -7,7 +7,7 @@
 Slices are disjoint and together complete. A batch read covers commit times in (since, until];
 each micro-batch of a stream covers the times after the last one's. The files are read through
 pyarrow's dataset layer on the executors, which prunes row groups by time. Where the path lies in
-a store that only Spark reads, use ``spark.read.parquet`` and ``palimpsest.operators.scan``.
+a file system that only Spark reads, use ``spark.read.parquet`` and ``palimpsest.operators.scan``.
 """
 
 from __future__ import annotations

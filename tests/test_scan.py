@@ -60,3 +60,12 @@ def test_key_filters_reach_the_files(spark, tmp_path):
     spark.range(100).selectExpr("id as key", "id * 10 as time", "cast(id as double) as value").write.parquet(path)
     plan = scan.http_scan(spark.read.parquet(path), 900, end=50, since=100)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(key,50)" in plan and "GreaterThan(time,100)" in plan
+
+
+@pytest.mark.parametrize("pick", ["latest", "between", "through"])
+def test_start_keys_reach_the_files(spark, tmp_path, pick):
+    path = str(tmp_path / "cells")
+    spark.range(100).selectExpr("id as key", "id * 10 as time", "cast(id as double) as value").write.parquet(path)
+    plan = scan.http_scan(spark.read.parquet(path), 900, pick=pick, key=40, time=500, since=100)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert scans and all("GreaterThanOrEqual(key,40)" in line for line in scans)
