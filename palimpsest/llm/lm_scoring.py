@@ -48,7 +48,7 @@ SHARD_TOKENS, MOST_SHARDS = 2_000_000, 10_000
 #: A shard learns from, and a task scores, documents in groups of so many tokens at most.
 GROUP_TOKENS = 4_000_000
 #: Numbers of a network that are added up as one row, and the parts in which the shards' rows are added first.
-CHUNK, SALTS = 8192, 64
+CHUNK, SALTS = 8192, 16
 _FLUSH = 500_000
 
 
@@ -210,21 +210,20 @@ def averaged_round(training: DataFrame, network: Network, rate: float) -> Networ
         for _, group in _documents(batches):
             trainer.learn(group)
         if trainer.tokens:
-            weighted = np.append(trainer.network.vector.astype(np.float64) * trainer.tokens, trainer.tokens)
-            chunks = [weighted[i : i + CHUNK].tobytes() for i in range(0, len(weighted), CHUNK)]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(chunks)), pa.int32()), "sums": pa.array(chunks, pa.binary())})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float64) for x in group["sums"])
-        return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "sums": [total.tobytes()]})
-
-    rows = training.select("row", "places").mapInArrow(run, "chunk int, sums binary").withColumn("salt", F.spark_partition_id() % SALTS)
-    # No task adds many networks: first in SALTS parts, then the parts.
-    sums = rows.groupBy("chunk", "salt").applyInPandas(add, "chunk int, sums binary").groupBy("chunk").applyInPandas(add, "chunk int, sums binary").collect()
-    if not sums:
-        return network
-    total = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(sums, key=lambda r: r["chunk"])])
-    return network.load((total[:-1] / total[-1]).astype(np.float32))
+            own = trainer.network.vector
+            chunks = [own[i : i + CHUNK].tobytes() for i in range(0, len(own), CHUNK)]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(chunks)), pa.int32()), "tokens": pa.array([float(trainer.tokens)] * len(chunks)), "part": pa.array(chunks, pa.binary())})
+
+    def average(group: pd.DataFrame) -> pd.DataFrame:
+        tokens = group["tokens"].sum()
+        total = sum(np.frombuffer(x, np.float32) * (n / tokens) for x, n in zip(group["part"], group["tokens"], strict=True))
+        return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "tokens": [tokens], "part": [total.astype(np.float32).tobytes()]})
+
+    schema = "chunk int, tokens double, part binary"
+    rows = training.select("row", "places").mapInArrow(run, schema).withColumn("salt", F.spark_partition_id() % SALTS)
+    # No task has many networks: first they are averaged in SALTS parts, then the parts.
+    found = rows.groupBy("chunk", "salt").applyInPandas(average, schema).groupBy("chunk").applyInPandas(average, schema).collect()
+    return network.load(np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(found, key=lambda r: r["chunk"])])) if found else network
 
 
 def dealt(rows: DataFrame, tokens: int) -> DataFrame:
